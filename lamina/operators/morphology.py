@@ -105,3 +105,12 @@ def resolve_blended(pixels: DataFrame, keys: list[str], rounds: int = 20, block:
         return tile.present, {"cls": cls}
 
     return block_map(pixels, keys, ["r", "g", "b"], rounds, fn, {"cls": "int"}, block)
+
+
+def meets_background(labelled: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
+    """Labels with a background pixel among the 4-neighbours of their pixels."""
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    around = labelled.select(*keys, "label", "y", "x", F.explode(steps).alias("s")).select(
+        *keys, "label", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
+    background = mask.where("cls = 0").select(*keys, "y", "x")
+    return around.join(background, [*keys, "y", "x"]).select(*keys, "label").distinct().withColumn("meets_background", F.lit(True))

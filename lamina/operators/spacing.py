@@ -6,8 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import UM_PER_PX
-from ..functions.ordered import neighbours
+from ..functions.ordered import last_marked, neighbours, value_bucket
 from ..functions.quantiles import exact_quantiles
+from ..session import materialize
 
 LEVELS = 20  # grid levels: the finest cell is 2**-20 of the section's side
 
@@ -36,7 +37,8 @@ def nearest_neighbour(points: DataFrame, keys: list[str], ids: list[str]) -> Dat
     linearly with the points however they cluster.
     """
     at = [*keys, "center_x", "center_y"]
-    distinct = points.groupBy(*at).agg(F.count("*").alias("_copies"))
+    # read several times below: written once rather than recomputed
+    distinct = materialize(points.groupBy(*at).agg(F.count("*").alias("_copies")))
     extent = distinct.groupBy(*keys).agg(
         F.min("center_x").alias("_x0"), F.min("center_y").alias("_y0"),
         F.greatest(F.max("center_x") - F.min("center_x"), F.max("center_y") - F.min("center_y")).alias("_side"))
@@ -48,13 +50,13 @@ def nearest_neighbour(points: DataFrame, keys: list[str], ids: list[str]) -> Dat
 
     placed = distinct.join(extent, keys).select(
         *at, "_copies", index("center_x", "_x0").alias("_ix"), index("center_y", "_y0").alias("_iy"))
-    placed = placed.withColumn("_code", F.shiftleft(_spread_bits(F.col("_iy")), 1).bitwiseOR(_spread_bits(F.col("_ix"))))
+    placed = materialize(placed.withColumn("_code", F.shiftleft(_spread_bits(F.col("_iy")), 1).bitwiseOR(_spread_bits(F.col("_ix")))))
     codes = neighbours(placed.groupBy(*keys, "_code").agg(F.count("*").alias("_in_cell")), keys, "_code")
     level = F.when(F.col("_in_cell") > 1, LEVELS).otherwise(F.greatest(
         F.coalesce(_shared_level(F.col("_code"), F.col("prev")), F.lit(-1)),
         F.coalesce(_shared_level(F.col("_code"), F.col("next")), F.lit(-1))))
-    seekers = placed.where("_copies = 1").join(
-        codes.select(*keys, "_code", level.alias("_level")), [*keys, "_code"]).where("_level >= 0")
+    seekers = materialize(placed.where("_copies = 1").join(
+        codes.select(*keys, "_code", level.alias("_level")), [*keys, "_code"]).where("_level >= 0"))
 
     def cell(index_col: str) -> Column:
         return F.expr(f"shiftright({index_col}, {LEVELS} - _level)")
@@ -84,7 +86,7 @@ def nearest_neighbour(points: DataFrame, keys: list[str], ids: list[str]) -> Dat
 
 def neighbour_spacing(points: DataFrame, keys: list[str], ids: list[str], scale: float = UM_PER_PX) -> DataFrame:
     """Mean and median nearest distance per section; 0 below two lesions."""
-    nn = nearest_neighbour(points, keys, ids).where("nn_px is not null")
+    nn = materialize(nearest_neighbour(points, keys, ids).where("nn_px is not null"))
     means = nn.groupBy(*keys).agg((F.avg("nn_px") * scale).alias("m"))
     medians = exact_quantiles(nn, keys, "nn_px", {"q": 0.5})
     return points.select(*keys).distinct().join(means.join(medians, keys), keys, "left").select(
@@ -100,14 +102,14 @@ def grid_lines(points: DataFrame, keys: list[str], col: str, gap_multiplier: flo
     starts a line, so the walk is cut there into independent pieces; each piece
     is walked in order over a stream of batches with one number of state.
     """
-    counts = points.groupBy(*keys, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    steps = neighbours(counts, keys, "v")
+    counts = materialize(points.groupBy(*keys, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    steps = materialize(neighbours(counts, keys, "v"))
     gaps = steps.select(*keys, (F.col("v") - F.col("prev")).alias("gap"), F.lit(1).alias("times")).where("gap is not null")
     repeats = steps.where("n > 1").select(*keys, F.lit(0.0).alias("gap"), (F.col("n") - 1).alias("times"))
     limits = exact_quantiles(gaps.unionByName(repeats), keys, "gap", {"q": 0.5}, "times").select(
         *keys, (F.col("q") * gap_multiplier).alias("limit"))
-    cut = steps.join(limits, keys).select(
-        *keys, "v", "limit", (F.col("prev").isNull() | (F.col("v") - F.col("prev") > F.col("limit"))).alias("starts"))
+    cut = materialize(steps.join(limits, keys).select(
+        *keys, "v", "limit", (F.col("prev").isNull() | (F.col("v") - F.col("prev") > F.col("limit"))).alias("starts")))
     key_names = list(keys)
 
     def walk(batches):
@@ -124,10 +126,7 @@ def grid_lines(points: DataFrame, keys: list[str], col: str, gap_multiplier: flo
             yield pa.RecordBatch.from_arrays(
                 [*arrays, batch["v"], pa.array(out, pa.float64())], names=[*key_names, "v", "start"])
 
-    piece = cut.where("starts").select(*keys, F.col("v").alias("_piece"))
     # rows of a piece stay together: the piece is the last cut at or before the row
-    from ..functions.ordered import last_marked, value_bucket
-
     bucketed = value_bucket(cut, keys, "v")
     pieces = last_marked(bucketed.withColumn("_mark", F.when(F.col("starts"), F.col("v"))).withColumnRenamed("_b", "_vb"),
                          keys, ["v"], "_mark", F.col("_vb"), "_piece")
@@ -137,7 +136,7 @@ def grid_lines(points: DataFrame, keys: list[str], col: str, gap_multiplier: flo
         .repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", "v")
         .mapInArrow(walk, names + ", v double, start double")
     )
-    return walked
+    return materialize(walked)
 
 
 def line_table(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,7 +149,7 @@ def nearest_line(lines: DataFrame, keys: list[str]) -> DataFrame:
 
     A coordinate lies between the line open at it and the following one.
     """
-    table = line_table(lines, keys)
+    table = materialize(line_table(lines, keys))
     placed = lines.join(table.select(*keys, "start", F.col("next").alias("up")), [*keys, "start"])
     at = F.when(F.abs(F.col("v") - F.col("up")) < F.abs(F.col("v") - F.col("start")), F.col("up")).otherwise(F.col("start"))
     chosen = placed.select(*keys, "v", at.alias("at"))
@@ -170,9 +169,9 @@ def grid_spacing(points: DataFrame, keys: list[str], scale: float = UM_PER_PX) -
         *keys, F.col("v").alias("center_x"), F.col("at").alias("gx"), F.col("after").alias("gx_next"))
     ys = nearest_line(grid_lines(work, keys, "center_y"), keys).select(
         *keys, F.col("v").alias("center_y"), F.col("at").alias("gy"), F.col("after").alias("gy_next"))
-    cells = work.join(xs, [*keys, "center_x"]).join(ys, [*keys, "center_y"]).groupBy(
+    cells = materialize(work.join(xs, [*keys, "center_x"]).join(ys, [*keys, "center_y"]).groupBy(
         *keys, "gx", "gy", "gx_next", "gy_next").agg(
-            F.count("*").alias("n"), F.sum("center_x").alias("sx"), F.sum("center_y").alias("sy"))
+            F.count("*").alias("n"), F.sum("center_x").alias("sx"), F.sum("center_y").alias("sy")))
 
     def along(axis: str, other: str, s: str) -> DataFrame:
         here = cells.select(*keys, F.col(f"{axis}_next").alias("j"), F.col(other).alias("o"), F.col("n").alias("n1"), F.col(s).alias("s1"))

@@ -76,12 +76,12 @@ GRID_SQL = """
 {axis}t as materialized (select section_id, 1.5 * quantile_cont(g, 0.5) t from
        (select section_id, v - lag(v) over (partition by section_id order by i) g from {axis}v) where g is not null group by section_id),
 {axis}d as materialized (select distinct section_id, v from {axis}v),
+{axis}j as materialized (select d.section_id, d.v, n.v as nv from (select d.*, t.t from {axis}d d join {axis}t t using (section_id)) d
+       asof join {axis}d n on n.section_id = d.section_id and d.v + d.t < n.v),
 {axis}l(section_id, start) as (
   select section_id, min(v) from {axis}d group by section_id
   union all
-  select l.section_id, (select min(d.v) from {axis}d d where d.section_id = l.section_id and d.v - l.start > t.t) as nxt
-  from {axis}l l join {axis}t t using (section_id)
-  where (select min(d.v) from {axis}d d where d.section_id = l.section_id and d.v - l.start > t.t) is not null),
+  select l.section_id, j.nv from {axis}l l join {axis}j j on j.section_id = l.section_id and j.v = l.start),
 {axis}n as materialized (select section_id, start, row_number() over (partition by section_id order by start) k from {axis}l)"""
 X_LINES, Y_LINES = GRID_SQL.format(axis="x", col="center_x"), GRID_SQL.format(axis="y", col="center_y")
 REC = CTE.replace("with lesions", "with recursive lesions")
