@@ -70,7 +70,7 @@ def _(spark, sf):
         "section_id", "cls", F.round("pct", 6).alias("pct"))
 
 
-@query("b4_luma", f"{W('image')} select section_id, cast(trunc(0.299e0 * r + 0.587e0 * g + 0.114e0 * b) as int) as grey, count(*) as n from image group by all having trunc(0.299e0 * r + 0.587e0 * g + 0.114e0 * b) < 250")
+@query("b4_luma", f"{W('image')} select section_id, grey, count(*) as n from (select section_id, cast(trunc(0.299e0 * r + 0.587e0 * g + 0.114e0 * b) as int) as grey from image) where grey < 250 group by 1, 2")
 def _(spark, sf):
     return raster(spark, sf, "image").groupBy("section_id", colour.luma(F.col("r"), F.col("g"), F.col("b")).alias("grey")).agg(
         F.count("*").alias("n")).where("grey < 250")
