@@ -82,7 +82,7 @@ def tile_manifest(files: DataFrame, sizes: list[int], shift: str = "all") -> Dat
     """``size, shift, stem, tile, mask`` of tiles that have a mask of the same name."""
     parts = F.regexp_extract("path", r"/(tile|mask)_\d+/[^/]+/[^/]+$", 1)
     rows = files.select(
-        "path", parts.alias("kind"), F.regexp_extract("path", r"/(?:tile|mask)_(\d+)/[^/]+/[^/]+$", 1).cast("int").alias("size"),
+        "path", parts.alias("kind"), F.regexp_extract("path", r"/(?:tile|mask)_(\d+)/[^/]+/[^/]+$", 1).try_cast("int").alias("size"),
         F.regexp_extract("path", r"/(?:tile|mask)_\d+/([^/]+)/[^/]+$", 1).alias("shift"), stem(F.col("path")).alias("stem"),
     ).where(F.col("size").isin(sizes))
     if shift != "all":
@@ -103,7 +103,7 @@ def tile_audit(files: DataFrame) -> DataFrame:
     """Files and distinct tasks present per tile size and type."""
     kind = F.regexp_extract("path", r"/(tile|mask)_(\d+)/", 1)
     rows = files.where(F.col("path").rlike(r"/(tile|mask)_\d+/[^/]+/[^/]+\.(tif|png)$")).select(
-        kind.alias("type"), F.regexp_extract("path", r"/(tile|mask)_(\d+)/", 2).cast("int").alias("size"),
+        kind.alias("type"), F.regexp_extract("path", r"/(tile|mask)_(\d+)/", 2).try_cast("int").alias("size"),
         F.when(basename(F.col("path")).rlike(r"(?i)_(\d+)_(\d+)\.(tif|png)$"),
                F.regexp_replace(basename(F.col("path")), r"(?i)_(\d+)_(\d+)\.(tif|png)$", "")).alias("task"))
     # tasks are grouped first, so that the distinct count never expands rows
