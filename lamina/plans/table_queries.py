@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids, scalars
 from ..operators import dataset, evaluation, training_log
+from ..session import materialize
 from ..sources import discovery, sinks, tables
 from .raster_queries import AT, K, W, pairs
 from .rasters import raster
@@ -38,7 +39,8 @@ f as materialized (select path, regexp_replace(path, '/[^/]*$', '') as dir, rege
 def files(spark: SparkSession, sf: str) -> DataFrame:
     view = f"orders_rows_{abs(hash(sf)) % 10**9}"
     table(spark, sf, "orders").select("o_orderkey", "o_custkey").createOrReplaceTempView(view)
-    return spark.sql(FILES.replace("from orders", f"from {view}").replace("varchar(9)", "string"))
+    # a manifest is a stored table: written once, then read by every branch of a pairing
+    return materialize(spark.sql(FILES.replace("from orders", f"from {view}").replace("varchar(9)", "string")))
 
 
 @query("a1_discover_files", f"""{FCTE} select path, case when lower(path) like '%.tif' then 'image' else 'mask' end as kind from f
