@@ -148,6 +148,17 @@ def _contract_by_stars(edges: DataFrame, keys: list[str]) -> DataFrame:
     return current.select(*keys, F.col("u").alias("part"), F.col("v").alias("label"))
 
 
+def connected_groups(edges: DataFrame, keys: list[str], one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+    """``keys, part, label``: the smallest node reachable from each node of the edges ``a, b``."""
+    if edges.count() <= one_task_edges:
+        return _contract_one_task(edges, keys)
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    ordered = edges.select(*keys, low.alias("a"), high.alias("b")).where("a <> b").distinct()
+    found = _contract_by_stars(ordered, keys)
+    roots = found.select(*keys, F.col("label").alias("part"), "label").distinct()
+    return found.unionByName(roots)
+
+
 def label_runs(
     pixels: DataFrame,
     keys: list[str],

@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-_MODULES = ["lesion_queries", "raster_queries", "table_queries", "tile_queries"]
+_MODULES = ["lesion_queries", "raster_queries", "table_queries", "tile_queries", "object_queries"]
 
 
 def _load():
