@@ -131,7 +131,7 @@ def test_nearest_neighbour_clusters(spark):
 def test_assignment():
     rng = np.random.default_rng(4)
     for _ in range(30):
-        n, m = rng.integers(1, 5), rng.integers(5, 7)
+        n, m = int(rng.integers(1, 5)), int(rng.integers(5, 7))
         cost = np.where(rng.random((n, m)) < 0.5, 1e9, rng.random((n, m)) * 100)
         got = objects.shortest_paths_assignment(cost)
         best = min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), n))
