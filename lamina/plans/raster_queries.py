@@ -232,8 +232,12 @@ def _(spark, sf):
         "section_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"))
 
 
-@query("d7_class_boundary", f"""{W('gt')} select a.section_id, a.y, a.x from gt a, {values(E3)}, gt b
-where b.section_id = a.section_id and b.y = a.y + dy and b.x = a.x + dx group by all having min(b.cls) <> max(b.cls)""")
+# the four neighbours and the pixel itself make the 3x3 ellipse
+_EDGE = """select section_id, y, x from (select section_id, y, x, cls, lag(cls) over r a, lead(cls) over r b, lag(cls) over c c, lead(cls) over c d from {n}
+  window r as (partition by section_id, y order by x), c as (partition by section_id, x order by y)) where cls <> coalesce(a, cls) or cls <> coalesce(b, cls) or cls <> coalesce(c, cls) or cls <> coalesce(d, cls)"""
+
+
+@query("d7_class_boundary", f"{W('gt')} {_EDGE.format(n='gt')}")
 def _(spark, sf):
     return morphology.class_boundary(raster(spark, sf, "gt"), K, 3, BLOCK).select(
         "section_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"))
@@ -346,8 +350,7 @@ def _(spark, sf):
 
 
 def _bound(name):
-    return f"""{name}b as materialized (select a.section_id, a.y, a.x from {name} a, {values(E3)}, {name} b
-  where b.section_id = a.section_id and b.y = a.y + dy and b.x = a.x + dx group by all having min(b.cls) <> max(b.cls))"""
+    return f"{name}b as materialized ({_EDGE.format(n=name)})"
 
 
 def _near(src, other, t):

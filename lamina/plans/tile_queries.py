@@ -16,11 +16,11 @@ SIZES, PCTS = [256, 448, 512], (20, 40, 60, 80)
 
 def _sections(spark, sf):
     return table(spark, sf, "part").select(
-        F.col("p_partkey").alias("section_id"), (F.col("p_size") * 97 + F.col("p_partkey") % 500 + 100).cast("int").alias("width"),
-        (F.col("p_size") * 61 + F.col("p_partkey") % 300 + 200).cast("int").alias("height"))
+        F.col("p_partkey").alias("section_id"), (F.col("p_size") * 31 + F.col("p_partkey") % 500 + 100).cast("int").alias("width"),
+        (F.col("p_size") * 17 + F.col("p_partkey") % 300 + 200).cast("int").alias("height"))
 
 
-_SECT = "sec as materialized (select p_partkey as section_id, cast(p_size * 97 + p_partkey % 500 + 100 as int) as width, cast(p_size * 61 + p_partkey % 300 + 200 as int) as height from part)"
+_SECT = "sec as materialized (select p_partkey as section_id, cast(p_size * 31 + p_partkey % 500 + 100 as int) as width, cast(p_size * 17 + p_partkey % 300 + 200 as int) as height from part)"
 _GRIDS = """gr as materialized (select size, 'no_shift' as folder, size as step from (select unnest([{s}]) as size) union all
   select size, 'ovlp_' || round(100 * (size * pct // 100) / size)::int, size - size * pct // 100 from (select unnest([{s}]) as size), (select unnest([20, 40, 60, 80]) as pct)
    where round(100 * (size * pct // 100) / size)::int in (20, 40, 60, 80))"""
