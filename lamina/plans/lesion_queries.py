@@ -186,9 +186,9 @@ def _(spark, sf):
 @query("e16_zone_summary", f"""{BINS},
 z as (select section_id, cv_lesion_diameter c, case when bin_center_frac <= 0.25 then 'Central' when bin_center_frac <= 0.5 then 'Stable'
         when bin_center_frac <= 0.75 then 'Transition' else 'Peripheral' end as zone from bins)
-select section_id, zone, round(coalesce(100 * avg(c) filter (c > 0), 0), 4) as mean_cv_pct from z group by all""")
+select section_id, zone, round(coalesce(100 * avg(c) filter (c > 0), 0), 6) as mean_cv_pct from z group by all""")
 def _(spark, sf):
-    return cohort.zone_summary(_bins(spark, sf), K).select("section_id", "zone", F.round("mean_cv_pct", 4).alias("mean_cv_pct"))
+    return cohort.zone_summary(_bins(spark, sf), K).select("section_id", "zone", F.round("mean_cv_pct", 6).alias("mean_cv_pct"))
 
 
 PAIRS = f"""{CTE},
