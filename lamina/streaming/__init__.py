@@ -1 +1 @@
-
+"""Empty on purpose: all inputs are finite scans; see README."""
