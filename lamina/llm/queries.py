@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, pii, quality_rules, sharding
+from lamina.session import scratch_root
+
+from . import decontaminate, minhash, packing, pii, quality_classifier, quality_rules, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +26,23 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.class_table(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_root(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(warc.marked(table(spark, sf_dir, "pages")), path)
+    records = warc.read_archives(spark, path)
+    own, head = F.col("record_type") == "response", F.col("headers")
+    return records.select(
+        head["X-Page-Id"].cast("long").alias("page_id"),
+        F.when(own, F.octet_length("payload")).otherwise(head["X-Payload-Bytes"]).cast("long").alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.substring_index(head["WARC-Payload-Digest"], ":", -1)).alias("payload_digest"),
+        "record_type", head["X-Refers-To-Page"].cast("long").alias("refers_to"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,5 +66,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op7_decontamination, op6_pii, op8_quality_rules, op9_virtual_slots, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op3_quality_classifier, op4_warc, op7_decontamination, op6_pii, op8_quality_rules, op9_virtual_slots, op10_packing)}
 ORACLE: dict[str, str] = {}
