@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import chunks, materialize, need, words
 
-BUCKETS, SAMPLE, MIN_DOCS = 1 << 18, 20_000, 10
+BUCKETS, SAMPLE, MIN_DOCS, MIN_GAIN = 1 << 18, 20_000, 4, 15.0
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Upper bounds of the share classes that shapes and repetition are put into.
 SHARES = np.array([0.001, 0.02, 0.1, 0.3, 0.6])
@@ -57,22 +57,29 @@ def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat // BUCKETS, flat % BUCKETS
 
 
-def fit(rows: np.ndarray, buckets: np.ndarray, label: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float, float]:
+def _telling(buckets: np.ndarray, label: np.ndarray, rate: float) -> np.ndarray:
+    """Features in MIN_DOCS rows or more whose share of positive rows departs from the rate by a G statistic of MIN_GAIN."""
+    n = np.bincount(buckets, minlength=BUCKETS).astype(float)
+    yes = np.bincount(buckets[label], minlength=BUCKETS).astype(float)
+    gain = sum(2 * x * np.log(np.maximum(x, 1e-9) / np.maximum(n * r, 1e-9)) for x, r in ((yes, rate), (n - yes, 1 - rate)))
+    return (n >= MIN_DOCS) & (gain >= MIN_GAIN)
+
+
+def fit(rows: np.ndarray, buckets: np.ndarray, label: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, float, float]:
     """Weights, slope and shift: log odds = slope * sum of weights + shift. Rows 0 mod 5 calibrate, the others fit."""
     size = len(label)
     weights = np.zeros(BUCKETS)
     train = np.arange(size) % 5 > 0
     if min(label[train].sum(), (~label[train]).sum()) < 2:
         return weights, 0.0, 0.0
-    often = np.bincount(buckets[train[rows]], minlength=BUCKETS) >= min(MIN_DOCS, max(1, size // 50))
-    use = often[buckets]
+    use = _telling(buckets[train[rows]], label[rows][train[rows]], label[train].mean())[buckets]
     rows, buckets = rows[use], buckets[use]
     target, own = label.astype(float), train[rows]
     bias, seen = np.log(target[train].mean() / (1 - target[train].mean())), np.full(BUCKETS, EPSILON)
     for _ in range(rounds):
         odds = bias + np.bincount(rows, weights[buckets], size)
         error = np.where(train, 1 / (1 + np.exp(-odds)) - target, 0)
-        slope = np.bincount(buckets[own], error[rows[own]], BUCKETS) + 0.5 * weights
+        slope = np.bincount(buckets[own], error[rows[own]], BUCKETS) + 0.05 * weights
         seen += slope**2
         weights -= 0.5 * slope / np.sqrt(seen)
         bias -= 2 * error.sum() / train.sum()
