@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina.session import scratch_root
 
-from . import decontaminate, minhash, packing, pii, quality_classifier, quality_rules, sharding, warc
+from . import decontaminate, minhash, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", head["X-Refers-To-Page"].cast("long").alias("refers_to"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,5 +70,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op3_quality_classifier, op4_warc, op7_decontamination, op6_pii, op8_quality_rules, op9_virtual_slots, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op3_quality_classifier, op4_warc, op5_suffix_dedup, op7_decontamination, op6_pii, op8_quality_rules, op9_virtual_slots, op10_packing)}
 ORACLE: dict[str, str] = {}
