@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina.session import scratch_root
 
-from . import decontaminate, minhash, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, warc
+from . import context_mixing, decontaminate, minhash, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.class_table(table(spark, sf_dir, "documents"))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(table(spark, sf_dir, "documents"), class_column="lang")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
@@ -70,5 +74,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op3_quality_classifier, op4_warc, op5_suffix_dedup, op7_decontamination, op6_pii, op8_quality_rules, op9_virtual_slots, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_context_mixing, op3_quality_classifier, op4_warc, op5_suffix_dedup, op7_decontamination, op6_pii, op8_quality_rules, op9_virtual_slots, op10_packing)}
 ORACLE: dict[str, str] = {}
