@@ -194,9 +194,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     schema = T.StructType([*pieces.schema, *[T.StructField(n, t) for n, t in added.items()]])
     full = pieces.where(F.col("length") >= capacity)
     out = full.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, groups, level = pieces.where(F.col("length") < capacity), 2, 1
-    while groups > 1:
-        groups = max(1, rest.count() // group)
+    rest, groups, level = pieces.where(F.col("length") < capacity), None, 1
+    while groups != 1:
+        # at most half as many groups as before, so that the rounds end even where few bins close
+        groups = max(1, min(rest.count() // group, groups // 2 if groups else rest.count()))
         # dealt in turn, not by a key: equal rows spread over all groups
         dealt = rest.withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
         placed = materialize(dealt.groupBy("deal").applyInPandas(_placer(capacity, groups == 1, level), schema))
