@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.frames import beside
 from ..functions.ids import slide_of_file
 from ..functions.ordered import number_in_order
 from ..functions.quantiles import exact_quantiles
@@ -40,10 +41,10 @@ def dataset_metrics(lesions: DataFrame) -> DataFrame:
     slides = lesions.select("slide_name").distinct().agg(F.count("*").alias("total_images_processed"))
     frames = [slides, lesions.agg(F.count("*").alias("total_lesions_detected"), *_aggregates())]
     frames += [exact_quantiles(lesions, [], m, {f"median_{m}": 0.5}) for m in MEASURES[:3]]
-    out = frames[0].withColumn("_one", F.lit(1))
+    out = frames[0]
     for frame in frames[1:]:
-        out = out.join(frame.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+        out = beside(out, frame)
+    return out
 
 
 def slide_summary(lesions: DataFrame) -> DataFrame:
@@ -129,9 +130,9 @@ def correlations(lesions: DataFrame, measures: list[str]) -> DataFrame:
 
 
 def dashboard(lesions: DataFrame) -> DataFrame:
-    files = lesions.select("filename").distinct().agg(F.count("*").alias("total_files")).withColumn("_one", F.lit(1))
+    files = lesions.select("filename").distinct().agg(F.count("*").alias("total_files"))
     stats = lesions.agg(
         F.count("*").alias("total_lesions"),
         *[e for m in MEASURES[:2] for e in (F.round(F.avg(m), 1).alias(f"mean_{m}"), F.round(F.stddev_pop(m), 1).alias(f"std_{m}"))],
-    ).withColumn("_one", F.lit(1))
-    return files.join(stats, "_one").drop("_one")
+    )
+    return beside(files, stats)

@@ -1,7 +1,9 @@
 """Connected components of any size, their statistics, and hole filling.
 
-Labels are found per block as runs of pixels, joined across block borders
-through an edge table, and contracted there; pixels are never shuffled again.
+Labels are found per block as runs of pixels and joined across block borders
+through an edge table, which is contracted per section: it holds only the parts
+that meet at a border.  Labels come back as runs; a caller that wants pixels
+explodes or joins them.
 A component's label is ``first_y * 2**24 + first_x`` of its first pixel in
 raster order, so labels do not depend on block size or partitioning.
 """
@@ -16,7 +18,6 @@ from ..session import materialize
 from .blocks import BLOCK
 
 STRIDE = 1 << 24           # label = y * STRIDE + x
-ONE_TASK_EDGES = 500_000   # up to this many border edges are contracted in one task
 
 
 def _contract(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,8 +101,8 @@ def _border_edges(runs: DataFrame, keys: list[str], connectivity: int, block: in
     )
 
 
-def _contract_one_task(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Contraction of an edge table whose size has been checked."""
+def _contract_per_key(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Contraction of one section's (or one key's) edges per task; only parts that meet at a block border have edges."""
 
     def run(table: pa.Table) -> pa.Table:
         frame = table.to_pandas()
@@ -119,44 +120,12 @@ def _contract_one_task(edges: DataFrame, keys: list[str]) -> DataFrame:
         return pa.table(out)
 
     schema = _key_schema(edges, keys) + ", part bigint, label bigint"
-    return edges.withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(run, schema)
+    return edges.groupBy(*keys).applyInArrow(run, schema)
 
 
-def _contract_by_stars(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Alternating large-star and small-star steps until nothing changes.
-
-    Every step is a grouped minimum and a join back, so a label met by a third
-    of all edges is combined map-side and its rows stay spread.
-    """
-    current = edges.select(*keys, F.col("b").alias("u"), F.col("a").alias("v"))
-    previous = None
-    while True:
-        both = current.unionByName(current.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(lowest, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct())
-        least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        joined = large.join(least, [*keys, "u"])
-        small = joined.where("v <> m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select(*keys, "u", F.col("m").alias("v")))
-        current = materialize(small.where("u <> v").distinct())
-        state = current.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if previous is not None and tuple(state) == previous:
-            break
-        previous = tuple(state)
-    return current.select(*keys, F.col("u").alias("part"), F.col("v").alias("label"))
-
-
-def connected_groups(edges: DataFrame, keys: list[str], one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+def connected_groups(edges: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, part, label``: the smallest node reachable from each node of the edges ``a, b``."""
-    if edges.count() <= one_task_edges:
-        return _contract_one_task(edges, keys)
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    ordered = edges.select(*keys, low.alias("a"), high.alias("b")).where("a <> b").distinct()
-    found = _contract_by_stars(ordered, keys)
-    roots = found.select(*keys, F.col("label").alias("part"), "label").distinct()
-    return found.unionByName(roots)
+    return _contract_per_key(edges, keys)
 
 
 def label_runs(
@@ -164,18 +133,10 @@ def label_runs(
     keys: list[str],
     connectivity: int = 8,
     block: int = BLOCK,
-    one_task_edges: int = ONE_TASK_EDGES,
 ) -> DataFrame:
     """Runs ``keys, y, x0, x1, label`` of the components of the given pixels."""
     runs = materialize(_block_runs(pixels, keys, connectivity, block))
-    edges = materialize(_border_edges(runs, keys, connectivity, block))
-    n_edges = edges.count()
-    if n_edges == 0:
-        return runs.withColumnRenamed("part", "label")
-    if n_edges <= one_task_edges:
-        mapping = _contract_one_task(edges, keys)
-    else:
-        mapping = _contract_by_stars(edges, keys)
+    mapping = _contract_per_key(_border_edges(runs, keys, connectivity, block), keys)
     return (
         runs.join(mapping, [*keys, "part"], "left")
         .select(*keys, "y", "x0", "x1", F.coalesce("label", "part").alias("label"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.frames import beside
 from ..functions.ids import punch_of_tile, slide_of_tile
 from ..functions.ordered import running_sum
 from ..functions.fixed import N_CLASSES
@@ -23,9 +24,8 @@ def first_share(items: DataFrame, col: str, share: float, seed: int) -> DataFram
     hashed = items.select(col).distinct().withColumn("_h", seeded(F.col(col), seed)).withColumn("_b", F.substring("_h", 1, 2))
     sizes = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
     everything = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    total = sizes.agg(F.sum("_n").alias("_total")).withColumn("_one", F.lit(1))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(everything), F.lit(0))).withColumn("_one", F.lit(1)).join(
-        total, "_one").drop("_one", "_n")
+    before = beside(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(everything), F.lit(0))),
+                    sizes.agg(F.sum("_n").alias("_total"))).drop("_n")
     return (
         hashed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", col)))
         .join(before, "_b")
@@ -50,6 +50,8 @@ def split(tiles: DataFrame, level: str = "punch", val_share: float = 0.2, seed:
     grouped = with_groups(tiles)
     if exclude:
         grouped = grouped.where(~F.col("slide").isin(exclude) & ~F.col("punch").isin(exclude))
+        if grouped.isEmpty():
+            raise ValueError(f"excluding {sorted(exclude)} leaves no tile")
     if level == "tile":
         chosen = first_share(grouped, "path", val_share, seed).withColumn("_val", F.lit(True))
         key = "path"
@@ -66,7 +68,7 @@ def split(tiles: DataFrame, level: str = "punch", val_share: float = 0.2, seed:
     rule = F.when(F.coalesce("_val", F.lit(False)), "val").otherwise("train")
     if train_slides and level != "tile":
         rule = F.when(F.col("slide").isin(train_slides), "train").otherwise(rule)
-    return grouped.join(chosen, key, "left").withColumn("split", rule).drop("_val")
+    return require_both(grouped.join(chosen, key, "left").withColumn("split", rule).drop("_val"))
 
 
 def require_both(parts: DataFrame) -> DataFrame:
@@ -89,10 +91,10 @@ def class_distribution(counts: DataFrame, tile: str, n_samples: int | None = Non
         chosen = counts.select(tile).distinct().orderBy(seeded(F.col(tile), seed)).limit(n_samples)
         counts = counts.join(chosen, tile, "left_semi")
     totals = counts.groupBy(tile).agg(F.sum("n").alias("n")).agg(
-        F.sum("n").alias("total_pixels"), F.count("*").alias("total_samples")).withColumn("_one", F.lit(1))
+        F.sum("n").alias("total_pixels"), F.count("*").alias("total_samples"))
     per_class = counts.groupBy("cls").agg(F.sum("n").alias("pixels"), F.count_if(F.col("n") > 0).alias("samples"))
-    frame = counts.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("cls"), F.lit(1).alias("_one"))
-    return frame.join(per_class, "cls", "left").join(totals, "_one").select(
+    frame = counts.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("cls"))
+    return beside(frame.join(per_class, "cls", "left"), totals).select(
         "cls", F.coalesce("pixels", F.lit(0)).alias("pixels"), "total_pixels",
         (F.coalesce("pixels", F.lit(0)) / F.col("total_pixels") * 100).alias("pixel_pct"),
         F.coalesce("samples", F.lit(0)).alias("samples"), "total_samples",
@@ -122,15 +124,14 @@ def sampling_weights(counts: DataFrame, tile: str, alpha: float = 0.75) -> DataF
     per_class = class_distribution(counts, tile).select("cls", (1.0 / (F.col("sample_pct") + 0.01)).alias("w"))
     rare = per_class.agg(
         (F.max(F.when(F.col("cls") == 2, F.col("w"))) / F.sum("w") * F.count("*")).alias("w2"),
-        (F.max(F.when(F.col("cls") == 3, F.col("w"))) / F.sum("w") * F.count("*")).alias("w3")).withColumn("_one", F.lit(1))
+        (F.max(F.when(F.col("cls") == 3, F.col("w"))) / F.sum("w") * F.count("*")).alias("w3"))
     tiles = counts.groupBy(tile).agg(
         F.bool_or((F.col("cls") == 2) & (F.col("n") > 0)).alias("coag"),
-        F.bool_or((F.col("cls") == 3) & (F.col("n") > 0)).alias("abl")).withColumn("_one", F.lit(1))
-    raw = tiles.join(rare, "_one").select(
-        tile, "_one", (F.when(F.col("coag"), 1 + alpha * F.col("w2")).otherwise(1.0)
-                       * F.when(F.col("abl"), 1 + alpha * F.col("w3")).otherwise(1.0)).alias("w"))
-    total = raw.groupBy("_one").agg(F.sum("w").alias("s"), F.count("*").alias("c"))
-    return raw.join(total, "_one").select(tile, (F.col("w") / F.col("s") * F.col("c")).alias("weight"))
+        F.bool_or((F.col("cls") == 3) & (F.col("n") > 0)).alias("abl"))
+    raw = beside(tiles, rare).select(
+        tile, (F.when(F.col("coag"), 1 + alpha * F.col("w2")).otherwise(1.0)
+               * F.when(F.col("abl"), 1 + alpha * F.col("w3")).otherwise(1.0)).alias("w"))
+    return beside(raw, raw.agg(F.sum("w").alias("s"), F.count("*").alias("c"))).select(tile, (F.col("w") / F.col("s") * F.col("c")).alias("weight"))
 
 
 def weighted_draws(weights: DataFrame, tile: str, bucket: Column, n_draws: DataFrame, seed: int = 42,
@@ -144,12 +145,12 @@ def weighted_draws(weights: DataFrame, tile: str, bucket: Column, n_draws: DataF
     """
     whole = weights.withColumn("_w", F.rint(F.col("weight") * resolution).cast("bigint"))
     laid = running_sum(whole, [], [tile], "_w", bucket, "_to").withColumn("_from", F.col("_to") - F.col("_w"))
-    total = whole.agg(F.sum("_w").alias("_total"), F.count("*").alias("_n")).withColumn("_one", F.lit(1))
+    total = whole.agg(F.sum("_w").alias("_total"), F.count("*").alias("_n"))
     step = F.ceil(F.col("_total") / F.col("_n"))
-    spans = laid.withColumn("_one", F.lit(1)).join(total, "_one").where("_w > 0").select(
+    spans = beside(laid, total).where("_w > 0").select(
         tile, "_from", "_to", F.explode(F.sequence(F.floor(F.col("_from") / step), F.floor((F.col("_to") - 1) / step))).alias("_s"))
     u = F.conv(F.substring(seeded(F.col("draw"), seed), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
-    points = n_draws.withColumn("_one", F.lit(1)).join(total, "_one").select(
+    points = beside(n_draws, total).select(
         "draw", F.floor(u * F.col("_total")).alias("_at"), F.floor(F.floor(u * F.col("_total")) / step).alias("_s"))
     return points.join(spans, "_s").where("_at >= _from and _at < _to").select("draw", tile)
 
@@ -165,12 +166,12 @@ def balanced_sample(counts: DataFrame, tile: str, n: int, seed: int = 42) -> Dat
     abl = tiles_with_class(counts, tile, 3, quarter, seed)
     coag = tiles_with_class(counts, tile, 2, quarter, seed).join(abl, tile, "left_anti")
     taken = abl.withColumn("reason", F.lit("ablation")).unionByName(coag.withColumn("reason", F.lit("coagulation")))
-    room = taken.agg((F.lit(n) - F.count("*")).alias("room")).withColumn("_one", F.lit(1))
+    room = taken.agg((F.lit(n) - F.count("*")).alias("room"))
     # at most n more are needed, so n candidates in seeded order are enough
     rest = counts.select(tile).distinct().join(taken.select(tile), tile, "left_anti").withColumn(
         "_h", seeded(F.col(tile), seed)).orderBy("_h").limit(n)
-    ranked = rest.withColumn("_r", F.row_number().over(Window.orderBy("_h"))).withColumn("_one", F.lit(1))
-    fill = ranked.join(room, "_one").where("_r <= room").select(tile, F.lit("other").alias("reason"))
+    ranked = rest.withColumn("_r", F.row_number().over(Window.orderBy("_h")))
+    fill = beside(ranked, room).where("_r <= room").select(tile, F.lit("other").alias("reason"))
     return taken.unionByName(fill)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.frames import beside
 from ..functions.fixed import EXCLUDED_FOLDERS
 from ..functions.ids import basename, dirname, stem
 
@@ -132,12 +133,9 @@ def collect_predictions(files: DataFrame, existing: DataFrame, dest: str, overwr
 def complete_members(have: DataFrame, required: DataFrame, member: str, section: str) -> DataFrame:
     """Members present for every required section: a relational division by counts."""
     needed = required.select(section).distinct()
-    total = needed.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
-    return (
-        have.select(member, section).distinct().join(needed, section, "left_semi")
-        .groupBy(member).agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
-        .join(total, "_one").where("n = total").select(member)
-    )
+    total = needed.agg(F.count("*").alias("total"))
+    counted = have.select(member, section).distinct().join(needed, section, "left_semi").groupBy(member).agg(F.count("*").alias("n"))
+    return beside(counted, total).where("n = total").select(member)
 
 
 def shared_sections(have: DataFrame, members: list[str], member: str, section: str) -> DataFrame:

@@ -213,3 +213,60 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_per_file(full, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "lesions")).count() == 18
     assert os.path.exists(tmp_path / "out" / "overall_summary")
+
+
+def test_lesion_csv_is_matched_by_name(spark, tmp_path):
+    texts = {
+        "PV1_02": "Lesion_ID,Ablation_Diameter_um,Coagulation_Width_um,Lesion_Diameter_um,Center_X,Center_Y\n1,80.5,12.5,99.5,10.5,11.5\n",
+        "PV2_01": "Center_Y_px,Center_X_px,Lesion_ID,Note\r\n4.5,3.5,7,\"a, b\"\r\n6.5,5.5,8,\r\n"}
+    for section, text in texts.items():
+        folder = tmp_path / section / "csv"
+        folder.mkdir(parents=True)
+        (folder / "lesion_summary.csv").write_text(text)
+    rows = {(r["section_id"], r["lesion_id"]): r for r in tables.lesion_summaries(spark, str(tmp_path)).collect()}
+    one = rows["PV1_02", 1]
+    assert (one["ablation_diameter_um"], one["coagulation_width_um"], one["lesion_diameter_um"], one["center_x"], one["center_y"]) == (80.5, 12.5, 99.5, 10.5, 11.5)
+    assert one["coagulation_area_um2"] is None and one["punch_id"] == "PV1"
+    assert [(rows["PV2_01", k]["center_x"], rows["PV2_01", k]["center_y"]) for k in (7, 8)] == [(3.5, 4.5), (5.5, 6.5)]
+
+
+def test_written_lesions_are_read_back(spark, tmp_path):
+    full = spark.createDataFrame(_lesions()).select(
+        "section_id", F.expr("cast(center_x as int)").alias("lesion_id"), "ablation_diameter_um", F.lit(2.0).alias("coagulation_width_um"),
+        F.lit(9.0).alias("lesion_diameter_um"), F.lit(50.0).alias("ablation_area_um2"), F.lit(60.0).alias("coagulation_area_um2"),
+        "center_x", "center_y", "touches_edge", "dist_to_edge_um")
+    sinks.write_lesions(full, str(tmp_path / "out"))
+    got = tables.written_summaries(spark, str(tmp_path / "out")).drop("punch_id")
+    want = tables.snake_case(cohort.summary_rows(full))
+    key = ["section_id", "lesion_id"]
+    a, b = (f.toPandas().sort_values(key).reset_index(drop=True) for f in (got, want))
+    pd.testing.assert_frame_equal(a[b.columns], b, check_dtype=False)
+
+
+def test_empty_splits_are_errors(spark):
+    one = spark.createDataFrame([(f"/d/tile/PVcont5_01_{i}_0_448.tif",) for i in range(9)], "path string")
+    with pytest.raises(ValueError, match="empty subset"):
+        dataset.split(one, "punch")
+    group = dataset.with_groups(one).first()["punch"]
+    with pytest.raises(ValueError, match="leaves no tile"):
+        dataset.split(one, "punch", exclude=[group])
+
+
+def test_resampling_of_uneven_sides(spark, to_pixels):
+    from lamina.operators import resample
+
+    rng = np.random.default_rng(5)
+    mask = rng.integers(0, 4, (67, 90))
+    mask[rng.random(mask.shape) < 0.5] = 0
+    sy, sx = 67 / (67 // 8), 90 / (90 // 8)
+    seen = [(t, u) for t in range(67 // 8) for u in range(90 // 8) if mask[int((t + 0.5) * sy), int((u + 0.5) * sx)]]
+    got = resample.tissue_centroid(to_pixels({"S": mask}), K, 8).first()
+    assert (got["cy"], got["cx"]) == pytest.approx([(np.mean([p[k] for p in seen]) + 0.5) * s for k, s in ((0, sy), (1, sx))])
+    colour_px = to_pixels({"S": rng.integers(0, 256, (13, 17))}, "r").withColumns({"g": F.col("r") + 1, "b": F.col("r") * 2})
+    grid = np.zeros((13, 17))
+    for r in colour_px.collect():
+        grid[r["y"], r["x"]] = r["r"]
+    fine = np.kron(grid, np.ones((10, 10)))  # a factor of 1.7 is 17 fine pixels
+    for r in resample.area_mean(colour_px, K, 1.7).collect():
+        cell = fine[r["y"] * 17 : r["y"] * 17 + 17, r["x"] * 17 : r["x"] * 17 + 17]
+        assert r["r"] == pytest.approx(cell.mean()) and r["b"] == pytest.approx(2 * cell.mean())
