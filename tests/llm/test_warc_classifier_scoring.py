@@ -148,7 +148,7 @@ def test_model_beats_counting_on_held_out_texts(spark):
     docs = stored(spark, {"doc_id": list(range(900)), "text": texts, "lang": [f"l{g}" for g in langs]}, {"doc_id": pa.int64(), "text": pa.string(), "lang": pa.string()})
     got = context_mixing.scored(docs, class_column="lang").toPandas()
     held = got[got.held_out]
-    assert len(held) > 80 and held.score.sum() > 0.97 * held.base_score.sum() and (held.score > held.base_score).mean() > 0.6
+    assert len(held) > 80 and held.score.sum() > held.base_score.sum() and (held.score > held.base_score).mean() > 0.6
 
 
 def test_spelling_is_a_distribution():
@@ -172,7 +172,7 @@ def test_token_probabilities_add_up():
     """Over a small closed vocabulary the next token's probabilities sum to one, whatever came before."""
     rng = np.random.default_rng(4)
     class_p = rng.random((3, 5))
-    class_p /= class_p.sum(axis=1, keepdims=True)
+    class_p = np.log(class_p / class_p.sum(axis=1, keepdims=True))
     for history in itertools.product(range(5), repeat=3):
         nexts = [np.array([*history, w]) for w in range(5)]
         last = [np.exp(context_mixing.token_logs(x, np.array([4]), class_p, np.array([0.5, 0.3, 0.2]))[-1]) for x in nexts]
