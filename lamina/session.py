@@ -32,7 +32,8 @@ def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback_dirs:
