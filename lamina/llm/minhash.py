@@ -6,11 +6,11 @@
    win, and a shingle stops as soon as its arrival lies behind the latest component of its document. Two documents agree in a
    component with the probability Jaccard similarity of their weights.
 2. Exact copies share one node. Components are hashed in bands; a bucket of a band proposes the pairs of its nodes with two
-   hubs (the node that meets most others, and the least by hash), never all with all, so proposals grow with the nodes.
-3. Proposals are verified by the exact probability Jaccard similarity of the shingle multisets. Buckets whose nodes are still
-   in different components propose their nodes to one more hub in each of ``ROUNDS`` rounds. Similar texts share a dozen
-   buckets on average, and each of these that has up to three nodes has by then compared all its pairs. In a large group of
-   copies of copies a link of two texts that are both just too far from every hub can be missed; README.md has figures.
+   hubs (the node that meets most others, and the least by hash), so that most nodes of a group come together cheaply.
+3. Proposals are verified by the exact probability Jaccard similarity of the shingle multisets. What hubs cannot link is
+   settled exactly: a bucket whose nodes are still in different components has all its pairs across components tested. Its
+   nodes are dealt into blocks of ``BLOCK_BYTES`` of shingles, and a task tests two blocks at a time from posting lists. Rows
+   moved grow with the members and blocks of a bucket, comparisons with the square of a bucket that stays apart.
 4. Components of the verified links are the classes.
 
 With 32 bands of 4 a pair of similarity 0.8 shares no bucket with probability 5e-8. Long rows move only for nodes that share a
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .common import chunks, materialize, mix, need, repeated, words
 from .graph import components
 
-SHINGLE, SIMILARITY, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 4, 1
+SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK_BYTES = 5, 0.8, 32, 4, 4 << 20
 BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -160,6 +160,74 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def links_across(ids: list[np.ndarray], weights: list[np.ndarray], component: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of sets of different components that reach ``least``, enough of them to join all components that any such pair joins."""
+    size = np.array([len(x) for x in ids])
+    total = np.array([x.sum() for x in weights])
+    unit = np.array([bool((x == 1).all()) for x in weights])
+    _, term = np.unique(np.concatenate(ids), return_inverse=True)
+    first = np.cumsum(size) - size
+    order = np.argsort(term, kind="stable")
+    owner, mass = np.repeat(np.arange(len(ids)), size)[order], np.concatenate(weights)[order]
+    ends = np.cumsum(np.bincount(term))
+    begins = np.concatenate([[0], ends[:-1]])
+    component, found = np.unique(component, return_inverse=True)[1], []
+    # of two sets in different components one at least is outside the largest
+    for x in np.flatnonzero(component != np.bincount(component).argmax()).tolist():
+        own = term[first[x] : first[x] + size[x]]
+        count = ends[own] - begins[own]
+        at = np.repeat(begins[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        of_x = np.bincount(owner[at], np.repeat(weights[x], count), len(ids))
+        of_y = np.bincount(owner[at], mass[at], len(ids))
+        # the similarity is at most the common share of either set's weight
+        near = np.flatnonzero((of_x >= (least - 1e-9) * total[x]) & (of_y >= (least - 1e-9) * total) & (component != component[x]))
+        for y in near.tolist():
+            if component[x] == component[y]:
+                continue
+            got = of_x[y] / (total[x] + total[y] - of_x[y]) if unit[x] and unit[y] else similarity(ids[x], weights[x], ids[y], weights[y])
+            if got >= least - 1e-12:
+                found.append((x, y))
+                component[component == component[y]] = component[x]
+    return found
+
+
+def cross_links(members: DataFrame, sets: DataFrame, least: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) that join the components of each bucket as all its pairs across components would; members: bucket, node, component."""
+    sized = members.join(sets.select(F.col("_row").alias("node"), F.octet_length("ids").alias("bytes")), "node")
+    blocks = sized.groupBy("bucket").agg(F.ceil(F.sum("bytes") / block_bytes).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    # a tile is a pair of blocks (the one block of a small bucket alone), so every pair of nodes meets in one at least
+    others = F.when(F.col("blocks") < 2, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("own")))
+    tiled = members.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(others))
+    tiled = tiled.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "component")
+    rows = tiled.join(sets, tiled["node"] == sets["_row"]).drop("_row").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+    def solve(tile: pa.Table) -> pa.RecordBatch:
+        node = tile.column("node").to_numpy()
+        ids, weights = [[np.frombuffer(x, t) for x in tile.column(c).to_pylist()] for c, t in (("ids", "<u8"), ("weights", "<u4"))]
+        found = links_across(ids, [w.astype(float) for w in weights], tile.column("component").to_numpy(), least)
+        x, y = (node[np.array([f[k] for f in found], np.int64)] for k in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "lo", "hi")], 1)
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])).tolist()
+            for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if last is not None and tuple(keys[s]) != last:
+                    yield solve(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(s, e - s))
+                last = tuple(keys[s])
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def _ordered(star: DataFrame) -> DataFrame:
     """Distinct pairs a < b of nodes and hubs."""
     return star.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -181,17 +249,12 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     sets = materialize(weighted_sets(with_rows(need(docs, text_column)).join(wanted, "_row", "left_semi"), text_column))
     links = materialize(verified(pairs, sets, least))
     found = components(links, "a", "b")
-    for turn in range(ROUNDS):
-        labelled = materialize(members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                               F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("x")).where("lo <> hi")
-        far = labelled.join(mixed.select("bucket", F.col("x.node").alias("hub"), F.col("x.component").alias("other")), "bucket").where("component <> other")
-        untested = materialize(_ordered(far).join(pairs, ["a", "b"], "left_anti"))
-        more = materialize(verified(untested, sets, least))
-        if more.isEmpty():
-            break
-        pairs, links = pairs.unionByName(untested), links.unionByName(more)
-        found = components(links, "a", "b")
+    # a bucket of two is settled by its hub; a larger one where all are together needs no test
+    labelled = members.where("n > 2").select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    more = materialize(cross_links(labelled.join(mixed, "bucket"), sets, least))
+    if not more.isEmpty():
+        found = components(links.unionByName(more), "a", "b")
 
     node_class = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("class_row"))
     return table.select("_row", id_column, "key").join(node_class, "key").drop("key")

@@ -179,3 +179,64 @@ def test_anchors_agree_in_equal_windows():
     for p, o in anchor.items():
         groups[raw[p : p + 200].tobytes()].add(o)
     assert all(len(x) == 1 for x in groups.values())
+
+
+def edited(seed, n, words=100):
+    """Copies of one text with a few words changed each: most are too far from each other, and some links miss every hub."""
+    rnd = random.Random(seed)
+    base, texts = prose(rnd, words).split(), []
+    for _ in range(n):
+        other = list(base)
+        for _ in range(rnd.randrange(2, 5)):
+            other[rnd.randrange(len(other))] = f"z{rnd.randrange(10**6)}"
+        texts.append(" ".join(other))
+    return texts
+
+
+def set_class_of(texts):
+    """``class_of`` for texts whose shingles all occur once."""
+    bag, parent = [set(b) for b in bags(texts)], list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(bag[i] & bag[j])
+        if both >= 0.8 * (len(bag[i]) + len(bag[j]) - both):
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(k) for k in range(len(texts))]
+
+
+def test_links_that_miss_every_hub(spark):
+    texts = edited(2, 400)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.class_table(make_docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == set_class_of(texts)
+
+
+def test_cross_links_of_many_blocks(spark):
+    texts = edited(5, 60) + copies_with_weights()
+    sets = minhash.weighted_sets(make_docs(spark, texts).withColumn("_row", minhash.F.col("doc_id")), "text").cache()
+    members = spark.createDataFrame([(7, i, i // 2 if i < 20 else i) for i in range(len(texts))], "bucket long, node long, component long")
+    want = class_of(texts)
+    for block_bytes in (1 << 20, 4000):
+        links = [tuple(r) for r in minhash.cross_links(members, sets, 0.8, block_bytes).collect()]
+        bag = bags(texts)
+        assert all(a < b and brute_similarity(bag[a], bag[b]) >= 0.8 - 1e-9 for a, b in links)
+        label = list(range(len(texts)))
+        for a, b in links + [(k, k + 1) for k in range(0, 20, 2)]:
+            label = [label[a] if x == label[b] else x for x in label]
+        joined = {(want[k], want[k + 1]) for k in range(0, 20, 2)}
+        merged = list(want)
+        for a, b in joined:
+            x, y = merged[want.index(a)], merged[want.index(b)]
+            merged = [x if m == y else m for m in merged]
+        assert all((label[i] == label[j]) == (merged[i] == merged[j]) for i, j in itertools.combinations(range(len(texts)), 2))
+
+
+def copies_with_weights():
+    """Texts with repeated shingles, similar by weight."""
+    rnd = random.Random(3)
+    line = prose(rnd, 12)
+    return [" ".join([line] * rnd.randrange(2, 6) + prose(rnd, 2).split()) for _ in range(12)]
