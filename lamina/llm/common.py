@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lamina.session import materialize, ship_package
 
-__all__ = ["chunks", "docs_of", "materialize", "mix", "need", "repeated", "words"]
+__all__ = ["chunks", "docs_of", "materialize", "mix", "need", "numbered", "repeated", "ship_package", "words"]
 
 #: Text bytes that one numpy pass works on; bounds a task's memory, whatever the batch size.
 CHUNK_BYTES = 8 << 20
@@ -23,6 +24,14 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """``docs`` with a number for each row, stored, so that all that reads it later sees the same numbers.
+
+    The number itself depends on how a scan is split, and the split on the cores registered at that time.
+    """
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "zstd")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of at most ``limit`` text bytes (one row at least) with their text, null as empty."""
     for batch in batches:

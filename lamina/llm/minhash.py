@@ -14,7 +14,7 @@
 4. Components of the verified links are the classes.
 
 With 32 bands of 4 a pair of similarity 0.8 shares no bucket with probability 5e-8. Long rows move only for nodes that share a
-bucket. ``docs`` has to be a stored table, because rows are named by their place in it.
+bucket. Rows are numbered once, in a stored table that holds their texts; every later step reads that table.
 
 Defined cases: a null text counts as empty; texts without a word are copies of each other; a text of one to four words is one
 shingle; a class is named by its least id (null if it has none); repeated rows are copies; other columns are passed by.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, materialize, mix, need, repeated, words
+from .common import chunks, materialize, mix, need, numbered, repeated, ship_package, words
 from .graph import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK_BYTES = 5, 0.8, 32, 4, 4 << 20
@@ -103,14 +103,8 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return float((ca / total[which]).sum())
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, the place of a row in its stored table."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def signature_table(docs: DataFrame, id_column: str, text_column: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """_row, id, key (equal for copies) and the hash of each band."""
-    docs = with_rows(need(docs, id_column, text_column))
+    """_row, id, key (equal for copies) and the hash of each band; docs: ``numbered``."""
     schema = T.StructType([T.StructField("_row", T.LongType()), docs.schema[id_column], T.StructField("key", T.BinaryType()),
                            T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -131,7 +125,7 @@ def signature_table(docs: DataFrame, id_column: str, text_column: str, bands: in
 
 
 def weighted_sets(docs: DataFrame, text_column: str) -> DataFrame:
-    """_row with its sorted shingle ids and their weights, as raw numbers."""
+    """_row with its sorted shingle ids and their weights, as raw numbers; docs: ``numbered``."""
     schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("weights", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +229,12 @@ def _ordered(star: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = SIMILARITY) -> DataFrame:
     """_row, id and ``class_row``, the least row of the class, for every row."""
+    docs = numbered(need(docs, id_column, text_column))
+    return classes_of(docs, id_column, text_column, least)
+
+
+def classes_of(docs: DataFrame, id_column: str, text_column: str, least: float) -> DataFrame:
+    """``classes`` of documents with a stored ``_row``."""
     table = materialize(signature_table(docs, id_column, text_column))
     nodes = materialize(table.groupBy("key").agg(F.min("_row").alias("node"), F.min_by("bands", "_row").alias("bands")))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -246,7 +246,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     star = members.join(hubs, "bucket").select("node", F.explode(F.array("first", "second")).alias("hub"))
     pairs = materialize(_ordered(star))
     wanted = members.select(F.col("node").alias("_row")).distinct()
-    sets = materialize(weighted_sets(with_rows(need(docs, text_column)).join(wanted, "_row", "left_semi"), text_column))
+    sets = materialize(weighted_sets(docs.select("_row", text_column).join(wanted, "_row", "left_semi"), text_column))
     links = materialize(verified(pairs, sets, least))
     found = components(links, "a", "b")
     # a bucket of two is settled by its hub; a larger one where all are together needs no test
@@ -269,10 +269,13 @@ def class_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = SIMILARITY) -> DataFrame:
     """All columns of one document of each class, that with the least id (nulls last, then the least row)."""
-    rows = materialize(classes(docs, id_column, text_column, least))
     place = "_row"
     while place in docs.columns:
         place += "_"
+    ship_package(docs.sparkSession)
+    stored = numbered(docs, place)
+    named = stored.select(F.col(place).alias("_row"), stored[id_column], stored[text_column])
+    rows = materialize(classes_of(named, id_column, text_column, least))
     first = F.min(F.struct(F.col(id_column).isNull(), id_column, "_row"))["_row"].alias("_row")
     kept = rows.groupBy("class_row").agg(first).select(F.col("_row").alias(place))
-    return docs.withColumn(place, F.monotonically_increasing_id()).join(kept, place, "left_semi").select(*docs.columns)
+    return stored.join(kept, place, "left_semi").select(*docs.columns)

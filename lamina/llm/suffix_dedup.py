@@ -12,7 +12,7 @@
 5. Spans of a document are merged and cut out.
 
 Equal texts take part once and share the result; of texts that occur more often, everything is repeated. Matches never cross
-documents. ``docs`` has to be a stored table, because rows are named by their place in it.
+documents. Rows are numbered once, in a stored table that holds their texts; every later step reads that table.
 
 Defined cases: a null text counts as empty; texts under LENGTH bytes keep everything; repeated rows are copies; an empty table
 gives an empty result; other columns are passed by.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, materialize, mix, need
+from .common import chunks, materialize, mix, need, numbered
 
 LENGTH, GRAM, SHALLOW, HELD_BYTES = 400, 64, 128, 12 << 20
 LOW = np.uint64(0xFFFFFFFF)
@@ -246,8 +246,7 @@ def _buffer(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_table(docs: DataFrame, id_column: str, text_column: str, length: int, gram: int) -> DataFrame:
-    """_row, id, key, n_bytes, sha256 of the whole text, and its anchors."""
-    docs = need(docs, id_column, text_column).withColumn("_row", F.monotonically_increasing_id())
+    """_row, id, key, n_bytes, sha256 of the whole text, and its anchors; docs: ``numbered``."""
     listed = T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("at", "lo", "hi")]]))
     schema = T.StructType([T.StructField("_row", T.LongType()), docs.schema[id_column], T.StructField("key", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
                            T.StructField("sha256", T.StringType()), T.StructField("anchors", listed)])
@@ -320,13 +319,14 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and the removed stretches as ``spans``."""
+    docs = numbered(need(docs, id_column, text_column))
     table = materialize(anchor_table(docs, id_column, text_column, length, gram))
     texts = materialize(table.groupBy("key").agg(F.min("_row").alias("_row"), F.count(F.lit(1)).alias("copies"), F.min_by("anchors", "_row").alias("anchors")))
     listed = texts.select("_row", F.explode("anchors").alias("x")).select("_row", "x.*")
     often = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     wanted = listed.join(often, "gram", "left_semi").groupBy("_row").agg(F.collect_list(F.struct("gram", "at", "lo", "hi")).alias("anchors"))
-    full = need(docs, text_column).toDF("text").withColumn("_row", F.monotonically_increasing_id())
-    held = materialize(full.join(wanted, "_row"))
+    full = docs.select(F.col(text_column).alias("text"), "_row")
+    held = materialize(full.join(wanted, "_row"), "zstd")
     found = materialize(_repeats(_contexts(held.select("_row", "text", "anchors"), length), length))
     per_text = found.groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("found"))
 

@@ -240,3 +240,29 @@ def copies_with_weights():
     rnd = random.Random(3)
     line = prose(rnd, 12)
     return [" ".join([line] * rnd.randrange(2, 6) + prose(rnd, 2).split()) for _ in range(12)]
+
+
+@pytest.fixture
+def unsteady_scans(spark, monkeypatch):
+    """Every step plans its scan for another number of cores, as after the loss of an executor."""
+    turns = itertools.cycle([1, 64])
+    names = ["spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"]
+    for module in (minhash, suffix_dedup):
+        def step(*args, materialize=module.materialize, **kw):
+            spark.conf.set(names[0], 0)
+            spark.conf.set(names[1], next(turns))
+            return materialize(*args, **kw)
+        monkeypatch.setattr(module, "materialize", step)
+    yield
+    for n in names:
+        spark.conf.unset(n)
+
+
+def test_rows_keep_their_numbers(spark, copies, unsteady_scans):
+    docs = make_docs(spark, copies)
+    assert sorted(r["doc_id"] for r in minhash.keep_one(docs).collect()) == sorted(set(class_of(copies)))
+    rnd = random.Random(8)
+    shared = prose(rnd, 150)
+    texts = [prose(rnd, rnd.randrange(20, 90)) + (shared if k % 3 else "") + prose(rnd, 30) for k in range(40)]
+    got = Counter(tuple(r)[1:] for r in suffix_dedup.deduplicated(make_docs(spark, texts)).drop("spans").collect())
+    assert got == Counter(brute_cut(texts, 400))
