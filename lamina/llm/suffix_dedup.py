@@ -287,7 +287,7 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """_row, start and end of repeated stretches; the contexts are dealt and sorted by gram, groups stream through."""
+    """_row, start and end of repeated stretches; the contexts are dealt and sorted by gram; a group is held whole."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         gram, at, lo = (table.column(n).to_numpy() for n in ("gram", "at", "lo"))
