@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lamina.session import scratch_root
 
-from . import context_mixing, decontaminate, minhash, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, warc
+from . import context_mixing, decontaminate, fill_in_middle, merkle, minhash, packing, pii, prefix_tree, quality_classifier, quality_rules, sharding, suffix_dedup, warc
+from .oracles import ORACLE  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,5 +75,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_context_mixing, op3_quality_classifier, op4_warc, op5_suffix_dedup, op7_decontamination, op6_pii, op8_quality_rules, op9_virtual_slots, op10_packing)}
-ORACLE: dict[str, str] = {}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.transformed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", merkle.LETTERS, merkle.LETTERS.lower())
+    rows = merkle.proofs(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"text": lowered},
+                         F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+    rows = rows.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest().alias("proof_sha256"),
+                       merkle.folded(F.coalesce("other", "leaf")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree.linked(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_context_mixing, op3_quality_classifier, op4_warc, op5_suffix_dedup, op7_decontamination, op6_pii, op8_quality_rules,
+                                   op9_virtual_slots, op10_packing, op11_fill_in_middle, op12_merkle, op13_prefix_tree)}
