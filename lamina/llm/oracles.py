@@ -48,12 +48,12 @@ top(lvl, idx, n, h) as (
 root as (select h as root from top where n = 1),
 row_ as materialized (select l.*, s.subroot, s.height, s.g, row_number() over () as r from leaf l join sub s on l.lang is not distinct from s.lang),
 side as (
-  select r, lvl, t.idx as at, t.h, t.idx < a.own as is_left from (select r, lang, k as lvl, idx // cast(8 ** k as bigint) as own from row_, range(20) q(k) where k < height) a
+  select r, lvl, t.idx as pos, t.h, t.idx < a.own as is_left from (select r, lang, k as lvl, idx // cast(8 ** k as bigint) as own from row_, range(20) q(k) where k < height) a
     join node t using (lvl) where t.lang is not distinct from a.lang and t.idx // 8 = a.own // 8 and t.idx <> a.own
   union all
   select r, height + lvl, t.idx, t.h, t.idx < a.own from (select r, height, k as lvl, g // cast(8 ** k as bigint) as own from row_, range(20) q(k) where k < (select max(lvl) from top)) a
     join top t using (lvl) where t.idx // 8 = a.own // 8 and t.idx <> a.own),
-step as materialized (select r, lvl, coalesce(string_agg(h, '' order by at) filter (where is_left), '') as lh, coalesce(string_agg(h, '' order by at) filter (where not is_left), '') as rh from side group by all),
+step as materialized (select r, lvl, coalesce(string_agg(h, '' order by pos) filter (where is_left), '') as lh, coalesce(string_agg(h, '' order by pos) filter (where not is_left), '') as rh from side group by all),
 proof as (select r, sha256(string_agg(lh || rh, '' order by lvl)) as proof_sha256 from step group by r),
 path as materialized (select r, height + (select max(lvl) from top) as len from row_),
 fold(r, lvl, h) as (
