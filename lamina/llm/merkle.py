@@ -64,11 +64,11 @@ def _hash_of(slots: list[int]) -> Column:
 
 def tree(leaves: DataFrame, group: list[str]) -> tuple[list[DataFrame], DataFrame]:
     """The stored families of each level, lowest first, and the last node of each group with its ``height``."""
-    levels, ends, nodes = [], leaves.where("n = 1").select(*group, "h", F.lit(0).alias("height")), leaves
+    levels, ends, nodes = [], leaves.where("n = 1").select(*group, "idx", "h", F.lit(0).alias("height")), leaves
     while not nodes.where("n > 1").isEmpty():
         levels.append(materialize(_families(nodes, group)))
         nodes = levels[-1].select(*group, "idx", "n", digest(_hash_of(list(range(FANOUT)))).alias("h"), F.lit(None).cast(leaves.schema["body"].dataType).alias("body"))
-        ends = ends.unionByName(nodes.where("n = 1").select(*group, "h", F.lit(len(levels)).alias("height")))
+        ends = ends.unionByName(nodes.where("n = 1").select(*group, "idx", "h", F.lit(len(levels)).alias("height")))
     return levels, ends
 
 
@@ -84,10 +84,10 @@ def _children(families: DataFrame, above: DataFrame, group: list[str], carried:
 
 
 def descended(levels: list[DataFrame], tops: DataFrame, leaves: DataFrame, group: list[str], carried: list[str]) -> DataFrame:
-    """The leaves with their paths; ``tops``: the last node of each group with ``height``, ``path`` and what is carried down."""
+    """The leaves with their paths; ``tops``: the last node of each group with its place, ``height``, ``path`` and what is carried down."""
     state = None
     for height in range(len(levels), -1, -1):
-        here = tops.where(F.col("height") == height).select(*group, F.lit(0).cast("long").alias("idx"), *carried, "path")
+        here = tops.where(F.col("height") == height).select(*group, "idx", *carried, "path")
         if height < len(levels):
             below = _children(levels[height], state, group, carried)
             if height == 0:
@@ -114,9 +114,10 @@ def proofs(docs: DataFrame, columns: list[str], group: str, key: str, edit: dict
     leaves = materialize(placed(rows, by, ["_key", "h", "_row"]).select(*by, "idx", "n", "h", F.struct(F.col("_key").alias("key"), F.col("_other").alias("other")).alias("body")))
     levels, ends = tree(leaves, by)
     # the groups' own tree: a subroot is a leaf there, and its body says which group it stands for
-    groups = materialize(placed(materialize(ends), [], by).select("idx", "n", "h", F.struct(*by, "height").alias("body")))
+    ends = materialize(ends.withColumnRenamed("idx", "last"))
+    groups = materialize(placed(ends, [], by).select("idx", "n", "h", F.struct(*by, F.col("last").alias("idx"), "height").alias("body")))
     top_levels, top = tree(groups, [])
-    root = top.select(F.col("h").alias("root"), "height", F.expr("cast(array() as array<struct<left: string, right: string>>)").alias("path"))
+    root = top.select("idx", F.col("h").alias("root"), "height", F.expr("cast(array() as array<struct<left: string, right: string>>)").alias("path"))
     subroots = descended(top_levels, root, groups, [], ["root"])
     tops = subroots.select("body.*", F.col("h").alias("subroot"), "root", "path")
     found = descended(levels, tops, leaves, by, ["subroot", "root"])

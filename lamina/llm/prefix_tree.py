@@ -1,20 +1,22 @@
-"""Similarity join of n-gram sets with a prefix tree.
+"""Similarity join of n-gram sets with prefix trees.
 
 1. A document's set are the 64-bit hashes of its distinct word n-grams. Equal sets are one node.
 2. Order. N-grams are ordered globally: those in the lower ``RARE_SHARE`` of the hash space first, by the number of sets that
-   hold them (counted over all sets) and then by hash; the others by hash. Two sets whose similarity reaches the limit share one of
-   their first ``n - ceil(limit * n) + 1`` n-grams. Under this order these are nearly always counted ones, so that only a quarter of
-   all n-grams has to be counted, and mostly ones that no other set holds: such a set has no partner and leaves here.
-3. Sets that share such an n-gram are a group. A probe is a set sent down a tree of other sets: the tree holds them by ascending
-   hash, so that sets with a common beginning share its path and its overlap with the probe, and a subtree is left as soon as the
-   overlap plus what remains, of the probe or of the longest set below, cannot reach the limit for the shortest set below.
-   First every group's two hubs (the node that meets most others, and the least by a hash) are sent down the trees of the groups'
-   members, dealt in blocks of ``BLOCK_BYTES``. That links most of a group of copies, with a row or two a member.
-4. Groups of more than three sets that are still in several components have all pairs across components probed: blocks against
-   blocks, each set outside the largest component of the two. Groups of equal members count once.
-
-Hubs only spare work: every pair of sets that shares a group is either in one component or was tested, so components are those
-of all links. Rows moved in step 4 grow with the blocks of a group that stays apart, comparisons with its square.
+   hold them (counted over all sets) and then by hash; the others by hash. Of two sets whose similarity reaches the limit, one of
+   the first ``n - ceil(limit * n) + 1`` n-grams of the larger is among the (about half as many) first ones that the smaller one
+   needs. Under this order the first n-grams are nearly always counted ones, so that only a quarter of all n-grams has to be
+   counted, and mostly ones that no other set holds: such a set has no partner and leaves here.
+3. Sets that share such an n-gram are a group. A probe is a set sent down a tree of other sets, in which sets with a common
+   beginning share their path and so their overlap with the probe; a subtree is left as soon as the overlap plus what remains, of
+   the probe or of the longest set below, cannot reach the limit for the shortest set below. First two hubs of every group (of
+   those that may be the smaller of a pair: the one that meets most others, and the least by a hash) are sent down trees of the
+   group's members, dealt in blocks of ``BLOCK_BYTES``. That links most of a group of copies, with a row or two a member.
+4. Groups whose hubs leave untested pairs and that are still in several components have all pairs across components probed,
+   blocks against blocks. A first tree holds only each set's first n-grams from the group's own on, in the global order; what it
+   prunes has no partner in the tile. Only the members that it leaves meet as whole sets. Groups of equal members count once.
+
+Hubs only spare work: every pair that can reach the limit is in one component or is tested, so components are those of all links.
+Rows moved in step 4 grow with the blocks of a group that stays apart, comparisons with its square.
 
 Defined cases: a null text counts as empty; a text without words has an empty set, linked with nothing, and is its own component;
 a text of fewer than ``length`` words is one n-gram; a component is named by its least id (null if it has none); repeated rows are
@@ -99,21 +101,37 @@ def set_table(docs: DataFrame, text_column: str, extra: list[str], length: int,
 
 
 def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
-    """gram, node and n for the first n-grams of every node, without those that no other node holds; nodes: node, n, low, high."""
+    """node, n, once (first n-grams that no other node holds) and the others of the first ones in order, as ``df`` and ``grams``;
+    nodes: node, n, low, high. A node without such others is left out."""
     low = nodes.select("node", F.explode("low").alias("gram"))
     often = low.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = low.join(often, "gram").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("met"))
-    found = nodes.join(shared, "node", "left").withColumn("met", F.coalesce(F.col("met")["gram"], F.array().cast("array<bigint>")))
-    # those held once come first and match nothing
-    room = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - (F.size("low") - F.size("met"))
-    first = F.slice(F.concat("met", "high"), 1, F.greatest(room, F.lit(0)).cast("int"))
-    return found.where("n > 0").select("node", "n", F.explode(first).alias("gram"))
+    found = nodes.join(shared, "node", "left").withColumn("met", F.coalesce("met", F.array().cast("array<struct<df:bigint,gram:bigint>>")))
+    once = F.size("low") - F.size("met")
+    room = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - once
+    later = F.transform("high", lambda g: F.struct(F.lit(1 << 60).alias("df"), g.alias("gram")))
+    first = F.slice(F.concat("met", later), 1, F.greatest(room, F.lit(0)).cast("int"))
+    return found.select("node", "n", once.alias("once"), first.alias("first")).where(F.size("first") > 0).select(
+        "node", "n", "once", F.col("first")["df"].alias("df"), F.col("first")["gram"].alias("grams"))
+
+
+def group_members(first: DataFrame, percent: int) -> DataFrame:
+    """gram, df, node, n, place (in the set's order) and ``short``, whether the node can be the smaller of a pair that has this gram
+    as its first common one; only groups in which some pair can."""
+    each = first.select("node", "n", "once", F.posexplode(F.arrays_zip("df", "grams")).alias("k", "g"))
+    place = F.col("once") + F.col("k")
+    short = place < F.col("n") - F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent)) + 1
+    each = each.select(F.col("g.grams").alias("gram"), F.col("g.df").alias("df"), "node", "n", place.alias("place"), short.alias("short"))
+    met = each.groupBy("gram").agg(F.count(F.lit(1)).alias("met"), F.count_if("short").alias("shorts"), F.min(F.when(F.col("short"), F.col("n"))).alias("least")).where("met > 1 and shorts > 0")
+    # a node that is neither short here nor as large as one that is has no pair to be tested
+    return each.join(met, "gram").where("short or n >= least").drop("least")
 
 
 class Tree:
     """Distinct sets (sorted numbers) as a path-compressed prefix tree in arrays, breadth first; long paths are cut into segments."""
 
-    def __init__(self, sets: list[np.ndarray], segment: int = SEGMENT):
+    def __init__(self, sets: list[np.ndarray], segment: int = SEGMENT, rest: list[tuple[int, int]] | None = None):
+        """``rest``, where the rows are only the beginnings of sets: how many numbers each has from its first one on, and its set's size."""
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         self.order = np.array(order, np.int64)
         rows = [sets[i] for i in order]
@@ -140,21 +158,26 @@ class Tree:
         held = self.end - self.start
         self.offset = np.cumsum(held) - held
         self.tokens = np.concatenate([np.zeros(0, np.uint64), *[rows[lo][a:b] for lo, _, a, b in nodes[1:]]])
-        self.longest, self.shortest = (np.array([f(size[a:b], initial=i) for a, b, *_ in nodes], np.int64) for f, i in ((np.max, 0), (np.min, 1 << 40)))
+        self.tail, self.whole = (np.array([r[j] for r in rest], np.int64)[self.order] for j in (0, 1)) if rest else (size, size)
+        self.longest = np.array([self.tail[a:b].max(initial=0) for a, b, *_ in nodes], np.int64)
+        self.shortest = np.array([self.whole[a:b].min(initial=1 << 40) for a, b, *_ in nodes], np.int64)
 
-    def probe(self, x: np.ndarray, percent: int = PERCENT, skip: np.ndarray | None = None) -> np.ndarray:
-        """Places (in the given order of the sets) of those whose similarity with ``x`` reaches the limit; ``skip``: nodes to leave."""
+    def probe(self, x: np.ndarray, percent: int = PERCENT, skip: np.ndarray | None = None, size: int | None = None, tail: int | None = None) -> np.ndarray:
+        """Places (in the given order of the sets) of those whose similarity with ``x`` reaches the limit, or may reach it, where only
+        beginnings are known; ``skip``: nodes to leave; ``size``, ``tail``: of the set that ``x`` begins, and from its first number on."""
         if not len(self.size) or not len(x):
             return np.zeros(0, np.int64)
-        need = lambda n: -(-percent * (len(x) + n) // (100 + percent))
-        at, overlap, found = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+        size, tail = (len(x) if v is None else v for v in (size, tail))
+        need = lambda n: -(-percent * (size + n) // (100 + percent))
+        beyond = tail > len(x)  # numbers behind the known ones may be common too
+        at, overlap, unknown, found = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), []
         while len(at):
             number = self.count[at]
             child = np.repeat(self.first[at] - np.cumsum(number) + number, number) + np.arange(number.sum())
-            so_far = np.repeat(overlap, number)
+            so_far, open_ = np.repeat(overlap, number), np.repeat(unknown, number)
             if skip is not None and len(child):
                 stay = ~skip[child]
-                child, so_far = child[stay], so_far[stay]
+                child, so_far, open_ = child[stay], so_far[stay], open_[stay]
             if not len(child):
                 break
             held = self.end[child] - self.start[child]
@@ -162,14 +185,16 @@ class Tree:
             tokens = self.tokens[np.repeat(self.offset[child] - begin, held) + np.arange(held.sum())]
             place = np.searchsorted(x, tokens)
             so_far = so_far + np.add.reduceat((x[np.minimum(place, len(x) - 1)] == tokens).astype(np.int64), begin)
-            last = begin + held - 1
-            left = len(x) - np.searchsorted(x, tokens[last], "right")
-            alive = so_far + np.minimum(left, self.longest[child] - self.end[child]) >= need(self.shortest[child])
-            child, so_far = child[alive], so_far[alive]
+            if beyond:
+                open_ = open_ + np.add.reduceat((tokens > x[-1]).astype(np.int64), begin)
+            left = tail - np.searchsorted(x, tokens[begin + held - 1], "right")
+            most = so_far + np.minimum(left, self.longest[child] - self.end[child] + open_)
+            alive = most >= need(self.shortest[child])
+            child, so_far, open_, left = child[alive], so_far[alive], open_[alive], left[alive]
             row = self.lo[child]
-            done = (self.size[row] == self.end[child]) & (so_far >= need(self.size[row]))
+            done = (self.size[row] == self.end[child]) & (so_far + np.minimum(left, self.tail[row] - self.end[child] + open_) >= need(self.whole[row]))
             found.append(row[done])
-            at, overlap = child, so_far
+            at, overlap, unknown = child, so_far, open_
         return self.order[np.concatenate(found)] if found else np.zeros(0, np.int64)
 
 
@@ -210,8 +235,8 @@ def tiles_solved(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def hub_tiles(members: DataFrame, sets: DataFrame, block_bytes: int) -> DataFrame:
-    """Every hub with the blocks of the sets that it meets; members: gram, node, n, met."""
-    hubs = members.groupBy("gram").agg(F.max_by("node", F.struct("met", "node")).alias("first"), F.min_by("node", F.xxhash64("node")).alias("second"))
+    """Every hub with the blocks of the sets that it meets; members: gram, node, n, short, met."""
+    hubs = members.where("short").groupBy("gram").agg(F.max_by("node", F.struct("met", "node")).alias("first"), F.min_by("node", F.xxhash64("node")).alias("second"))
     star = members.join(hubs, "gram").select("node", "n", F.explode(F.array_distinct(F.array("first", "second"))).alias("hub")).where("node <> hub").distinct()
     # a pair of two hubs once
     both = star.select(F.col("hub").alias("node"), F.col("node").alias("hub")).where("hub < node")
@@ -223,18 +248,67 @@ def hub_tiles(members: DataFrame, sets: DataFrame, block_bytes: int) -> DataFram
     return met.unionByName(own).join(sets, "node").select("tile", "node", F.col("node").alias("component"), "probe", (~F.col("probe")).alias("held"), "ids")
 
 
-def mixed_tiles(members: DataFrame, sets: DataFrame, block_bytes: int) -> DataFrame:
-    """Groups of several components as pairs of blocks; members: gram, node, n, component."""
-    groups = members.groupBy("gram").agg(
+def first_grams_meet(df: list[np.ndarray], grams: list[np.ndarray], n: np.ndarray, place: np.ndarray, component: np.ndarray, probes: np.ndarray,
+                     held: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of a tile are still in a pair of a probe and a held set of different components, by their first grams alone."""
+    flat_df, flat = np.concatenate(df), np.concatenate(grams)
+    order = np.lexsort((flat, flat_df))
+    new = np.ones(len(order), bool)
+    new[1:] = (flat_df[order][1:] != flat_df[order][:-1]) | (flat[order][1:] != flat[order][:-1])
+    rank = np.empty(len(order), np.uint64)
+    rank[order] = np.cumsum(new).astype(np.uint64)
+    lists = np.split(rank, np.cumsum([len(g) for g in grams])[:-1])
+    at = np.flatnonzero(held)
+    # rows of equal first grams are one row of the tree
+    distinct: dict[bytes, list[int]] = {}
+    for k in at.tolist():
+        distinct.setdefault(lists[k].tobytes(), []).append(k)
+    same = list(distinct.values())
+    tree = Tree([lists[g[0]] for g in same], rest=[(int((n[g] - place[g]).max()), int(n[g].min())) for g in same])
+    low, high = (np.array([f(component[g]) for g in same])[tree.order] for f in (np.min, np.max))
+    lows, highs = np.array([low[a:b].min() for a, b in zip(tree.lo, tree.hi)]), np.array([high[a:b].max() for a, b in zip(tree.lo, tree.hi)])
+    stays = np.zeros(len(n), bool)
+    for x in np.flatnonzero(probes).tolist():
+        for k in tree.probe(lists[x], percent, (lows == highs) & (lows == component[x]), int(n[x]), int(n[x] - place[x])).tolist():
+            for y in same[k]:
+                if component[y] != component[x]:
+                    stays[x] = stays[y] = True
+    return stays
+
+
+def mixed_tiles(members: DataFrame, first: DataFrame, sets: DataFrame, block_bytes: int, percent: int) -> DataFrame:
+    """Groups of several components as pairs of blocks; members: gram, df, node, n, place, short, shorts, component."""
+    groups = members.groupBy("gram", "df").agg(
         F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"),
-        F.ceil(8 * F.sum("n") / block_bytes).cast("int").alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 3 and lo <> hi")
-    groups = groups.groupBy("size", "sum", "xor").agg(F.min("gram").alias("gram"), F.first("blocks").alias("blocks"))
+        F.bit_xor(F.when(F.col("short"), F.xxhash64("node", F.lit(2)))).alias("of_short"), F.first("shorts").alias("shorts"),
+        F.ceil(8 * F.sum("n") / block_bytes).cast("int").alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("shorts > 2 and lo <> hi")
+    # of groups with equal members the first in the order holds the first common gram of each pair
+    groups = groups.groupBy("size", "sum", "xor", "of_short").agg(F.min(F.struct("df", "gram"))["gram"].alias("gram"), F.first("blocks").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     dealt = members.join(groups.select("gram", "blocks"), "gram").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # the lower block of a pair probes the higher one
-    return dealt.join(sets, "node").select(
-        F.struct("gram", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).alias("tile"), "node", "component",
-        (F.col("own") <= F.col("other")).alias("probe"), (F.col("own") >= F.col("other")).alias("held"), "ids")
+    # the lower block of a pair probes the higher one, and the other way round, as the smaller of a pair is the probe
+    rows = dealt.select(
+        F.struct("gram", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).alias("tile"), "node", "n", "place", "component", "short",
+        (F.col("own") <= F.col("other")).alias("first_side"), (F.col("own") >= F.col("other")).alias("second_side"))
+    begin = (F.col("place") - F.col("once") + 1).cast("int")
+    listed = rows.join(first.select("node", "once", F.col("df").alias("_df"), "grams"), "node").select(
+        *rows.columns, *[F.slice(c, begin, F.size(c)).alias(a) for c, a in (("_df", "df"), ("grams", "grams"))])
+
+    def thinned(table: pa.Table) -> pa.Table:
+        def lists(name: str) -> list[np.ndarray]:
+            column = table.column(name).combine_chunks()
+            size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            return np.split(column.flatten().to_numpy(), np.cumsum(size)[:-1])
+
+        n, place, component, short, one, two = (table.column(c).to_numpy() for c in ("n", "place", "component", "short", "first_side", "second_side"))
+        df, grams = lists("df"), lists("grams")
+        stays = first_grams_meet(df, grams, n, place, component, one & short, two, percent)
+        if (one != two).any():
+            stays |= first_grams_meet(df, grams, n, place, component, two & short, one, percent)
+        return table.select(["tile", "node", "component", "first_side", "second_side"]).filter(pa.array(stays))
+
+    kept = listed.groupBy("tile").applyInArrow(thinned, listed.select("tile", "node", "component", "first_side", "second_side").schema)
+    return materialize(kept).join(sets, "node").select("tile", "node", "component", F.col("first_side").alias("probe"), F.col("second_side").alias("held"), "ids")
 
 
 def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, percent: int = PERCENT,
@@ -245,9 +319,8 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     table = materialize(found)
     nodes = materialize(table.where("n > 0").groupBy("key").agg(F.min(id_column).alias("least_id"), *[F.first(c).alias(c) for c in ("n", "low", "high", "_text_hash")])
                         .withColumn("node", F.monotonically_increasing_id()))
-    grams = materialize(prefixes(nodes.select("node", "n", "low", "high"), percent))
-    met = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    members = materialize(grams.join(met, "gram"))
+    first = materialize(prefixes(nodes.select("node", "n", "low", "high"), percent))
+    members = materialize(group_members(first, percent))
     central = members.groupBy("node").agg(F.sum("met").alias("met"))
     wanted = materialize(nodes.join(central.select("node"), "node", "left_semi").select("node", "key", "_text_hash"))
     near = docs.join(wanted.select("_text_hash").distinct(), "_text_hash", "left_semi").dropDuplicates(["_text_hash", text_column])
@@ -255,8 +328,8 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     sets = materialize(whole.join(wanted.select("node", "key"), "key").select("node", "ids").dropDuplicates(["node"]))
     links = materialize(tiles_solved(hub_tiles(members.drop("met").join(central, "node"), sets, block_bytes), percent))
     joined = components(links, "a", "b")
-    labelled = materialize(members.select("gram", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    more = materialize(tiles_solved(mixed_tiles(labelled, sets, block_bytes), percent))
+    labelled = materialize(members.drop("met").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    more = materialize(tiles_solved(mixed_tiles(labelled, first, sets, block_bytes, percent), percent))
     if not more.isEmpty():
         joined = components(links.unionByName(more), "a", "b")
     of_node = nodes.select("key", "node", "least_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
