@@ -12,8 +12,8 @@
    those that may be the smaller of a pair: the one that meets most others, and the least by a hash) are sent down trees of the
    group's members, dealt in blocks of ``BLOCK_BYTES``. That links most of a group of copies, with a row or two a member.
 4. Groups whose hubs leave untested pairs and that are still in several components have all pairs across components probed,
-   blocks against blocks. A first tree holds only each set's first n-grams from the group's own on, in the global order; what it
-   prunes has no partner in the tile. Only the members that it leaves meet as whole sets. Groups of equal members count once.
+   blocks against blocks. A first tree holds only each set's first n-grams, in the global order, and leaves pairs that have another
+   one before the group's in common; what it prunes has no partner in the tile. Only the members that it leaves meet as whole sets. Groups of equal members count once.
 
 Hubs only spare work: every pair that can reach the limit is in one component or is tested, so components are those of all links.
 Rows moved in step 4 grow with the blocks of a group that stays apart, comparisons with its square.
@@ -162,9 +162,11 @@ class Tree:
         self.longest = np.array([self.tail[a:b].max(initial=0) for a, b, *_ in nodes], np.int64)
         self.shortest = np.array([self.whole[a:b].min(initial=1 << 40) for a, b, *_ in nodes], np.int64)
 
-    def probe(self, x: np.ndarray, percent: int = PERCENT, skip: np.ndarray | None = None, size: int | None = None, tail: int | None = None) -> np.ndarray:
+    def probe(self, x: np.ndarray, percent: int = PERCENT, skip: np.ndarray | None = None, size: int | None = None, tail: int | None = None,
+              first: int | None = None) -> np.ndarray:
         """Places (in the given order of the sets) of those whose similarity with ``x`` reaches the limit, or may reach it, where only
-        beginnings are known; ``skip``: nodes to leave; ``size``, ``tail``: of the set that ``x`` begins, and from its first number on."""
+        beginnings are known; ``skip``: nodes to leave; ``size``, ``tail``: of the set that ``x`` begins, and from its first number on; sets
+        that share a number below ``first`` are left."""
         if not len(self.size) or not len(x):
             return np.zeros(0, np.int64)
         size, tail = (len(x) if v is None else v for v in (size, tail))
@@ -184,12 +186,15 @@ class Tree:
             begin = np.cumsum(held) - held
             tokens = self.tokens[np.repeat(self.offset[child] - begin, held) + np.arange(held.sum())]
             place = np.searchsorted(x, tokens)
-            so_far = so_far + np.add.reduceat((x[np.minimum(place, len(x) - 1)] == tokens).astype(np.int64), begin)
+            hit = x[np.minimum(place, len(x) - 1)] == tokens
+            so_far = so_far + np.add.reduceat(hit.astype(np.int64), begin)
             if beyond:
                 open_ = open_ + np.add.reduceat((tokens > x[-1]).astype(np.int64), begin)
             left = tail - np.searchsorted(x, tokens[begin + held - 1], "right")
             most = so_far + np.minimum(left, self.longest[child] - self.end[child] + open_)
             alive = most >= need(self.shortest[child])
+            if first is not None:
+                alive &= ~np.logical_or.reduceat(hit & (tokens < first), begin)
             child, so_far, open_, left = child[alive], so_far[alive], open_[alive], left[alive]
             row = self.lo[child]
             done = (self.size[row] == self.end[child]) & (so_far + np.minimum(left, self.tail[row] - self.end[child] + open_) >= need(self.whole[row]))
@@ -248,9 +253,12 @@ def hub_tiles(members: DataFrame, sets: DataFrame, block_bytes: int) -> DataFram
     return met.unionByName(own).join(sets, "node").select("tile", "node", F.col("node").alias("component"), "probe", (~F.col("probe")).alias("held"), "ids")
 
 
-def first_grams_meet(df: list[np.ndarray], grams: list[np.ndarray], n: np.ndarray, place: np.ndarray, component: np.ndarray, probes: np.ndarray,
-                     held: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows of a tile are still in a pair of a probe and a held set of different components, by their first grams alone."""
+def first_grams_meet(df: list[np.ndarray], grams: list[np.ndarray], own: np.ndarray, n: np.ndarray, once: np.ndarray, component: np.ndarray,
+                     probes: np.ndarray, held: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of a tile are still in a pair of a probe and a held set of different components, by their first grams alone.
+
+    ``own``: where in its list each row has the group's gram, which must be the first that the two have in common.
+    """
     flat_df, flat = np.concatenate(df), np.concatenate(grams)
     order = np.lexsort((flat, flat_df))
     new = np.ones(len(order), bool)
@@ -258,18 +266,19 @@ def first_grams_meet(df: list[np.ndarray], grams: list[np.ndarray], n: np.ndarra
     rank = np.empty(len(order), np.uint64)
     rank[order] = np.cumsum(new).astype(np.uint64)
     lists = np.split(rank, np.cumsum([len(g) for g in grams])[:-1])
+    first = lists[0][own[0]]
     at = np.flatnonzero(held)
     # rows of equal first grams are one row of the tree
     distinct: dict[bytes, list[int]] = {}
     for k in at.tolist():
         distinct.setdefault(lists[k].tobytes(), []).append(k)
     same = list(distinct.values())
-    tree = Tree([lists[g[0]] for g in same], rest=[(int((n[g] - place[g]).max()), int(n[g].min())) for g in same])
+    tree = Tree([lists[g[0]] for g in same], rest=[(int((n[g] - once[g]).max()), int(n[g].min())) for g in same])
     low, high = (np.array([f(component[g]) for g in same])[tree.order] for f in (np.min, np.max))
     lows, highs = np.array([low[a:b].min() for a, b in zip(tree.lo, tree.hi)]), np.array([high[a:b].max() for a, b in zip(tree.lo, tree.hi)])
     stays = np.zeros(len(n), bool)
     for x in np.flatnonzero(probes).tolist():
-        for k in tree.probe(lists[x], percent, (lows == highs) & (lows == component[x]), int(n[x]), int(n[x] - place[x])).tolist():
+        for k in tree.probe(lists[x], percent, (lows == highs) & (lows == component[x]), int(n[x]), int(n[x] - once[x]), first).tolist():
             for y in same[k]:
                 if component[y] != component[x]:
                     stays[x] = stays[y] = True
@@ -290,9 +299,7 @@ def mixed_tiles(members: DataFrame, first: DataFrame, sets: DataFrame, block_byt
     rows = dealt.select(
         F.struct("gram", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).alias("tile"), "node", "n", "place", "component", "short",
         (F.col("own") <= F.col("other")).alias("first_side"), (F.col("own") >= F.col("other")).alias("second_side"))
-    begin = (F.col("place") - F.col("once") + 1).cast("int")
-    listed = rows.join(first.select("node", "once", F.col("df").alias("_df"), "grams"), "node").select(
-        *rows.columns, *[F.slice(c, begin, F.size(c)).alias(a) for c, a in (("_df", "df"), ("grams", "grams"))])
+    listed = rows.join(first.select("node", "once", F.col("df").alias("dfs"), "grams"), "node")
 
     def thinned(table: pa.Table) -> pa.Table:
         def lists(name: str) -> list[np.ndarray]:
@@ -300,11 +307,11 @@ def mixed_tiles(members: DataFrame, first: DataFrame, sets: DataFrame, block_byt
             size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
             return np.split(column.flatten().to_numpy(), np.cumsum(size)[:-1])
 
-        n, place, component, short, one, two = (table.column(c).to_numpy() for c in ("n", "place", "component", "short", "first_side", "second_side"))
-        df, grams = lists("df"), lists("grams")
-        stays = first_grams_meet(df, grams, n, place, component, one & short, two, percent)
+        n, place, once, component, short, one, two = (table.column(c).to_numpy() for c in ("n", "place", "once", "component", "short", "first_side", "second_side"))
+        df, grams = lists("dfs"), lists("grams")
+        stays = first_grams_meet(df, grams, place - once, n, once, component, one & short, two, percent)
         if (one != two).any():
-            stays |= first_grams_meet(df, grams, n, place, component, two & short, one, percent)
+            stays |= first_grams_meet(df, grams, place - once, n, once, component, two & short, one, percent)
         return table.select(["tile", "node", "component", "first_side", "second_side"]).filter(pa.array(stays))
 
     kept = listed.groupBy("tile").applyInArrow(thinned, listed.select("tile", "node", "component", "first_side", "second_side").schema)

@@ -206,14 +206,14 @@ def near_texts():
     rnd = random.Random(12)
     out, base = [], prose(rnd, 150, 4000).split()
     template = prose(rnd, 60, 4000)
-    for k in range(260):  # a group of edited copies, a few edits at least, so that not all are near to each other
+    for k in range(130):  # a group of edited copies, a few edits at least, so that not all are near to each other
         w = list(base)
         for _ in range(rnd.randrange(1, 7)):
             w[rnd.randrange(len(w))] = f"edit{k}{rnd.randrange(99)}"
         out.append(" ".join(w))
-    out += [f"{template} {prose(rnd, rnd.randrange(8, 90), 4000)}" for _ in range(80)]
-    out += [prose(rnd, rnd.randrange(1, 12), 6) for _ in range(80)]
-    out += [out[0], out[0].upper(), *out[300:310]]
+    out += [f"{template} {prose(rnd, rnd.randrange(8, 90), 4000)}" for _ in range(40)]
+    out += [prose(rnd, rnd.randrange(1, 12), 6) for _ in range(50)]
+    out += [out[0], out[0].upper(), *out[200:210]]
     return out
 
 
