@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from .common import chunks, materialize, mix, need, words
 from .graph import components
 
-LENGTH, PERCENT, RARE_SHARE, BLOCK_BYTES, SEGMENT = 4, 85, 0.25, 4 << 20, 64
+LENGTH, PERCENT, RARE_SHARE, BLOCK_BYTES, SEGMENT, FILTER_BITS = 4, 85, 0.25, 4 << 20, 64, 1 << 26
 BASE = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -318,19 +318,31 @@ def mixed_tiles(members: DataFrame, first: DataFrame, sets: DataFrame, block_byt
     return materialize(kept).join(sets, "node").select("tile", "node", "component", F.col("first_side").alias("probe"), F.col("second_side").alias("held"), "ids")
 
 
+def only_wanted(docs: DataFrame, wanted: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose hash may be among the wanted ones, without moving the others: the wanted hashes as a bitmap of ``bits`` bits, in
+    pieces of 4 KB, which is all that is broadcast, at any input size. A full bitmap lets more rows through; a join must follow."""
+    slot = F.pmod(F.col(column), F.lit(bits)) + 1
+    pieces = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = docs.withColumn("_piece", F.bitmap_bucket_number(slot)).join(F.broadcast(pieces), "_piece")
+    return rows.where(F.getbit(byte, place % 8) == 1).select(*docs.columns)
+
+
 def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, percent: int = PERCENT,
            share: float = RARE_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, n_shingles and component_id of every document."""
-    docs = need(docs, id_column, text_column).withColumn("_text_hash", F.xxhash64(text_column))
-    found = set_table(docs, text_column, [id_column, "_text_hash"], length, percent, share, False)
+    docs = need(docs, id_column, text_column).withColumn("_row_hash", F.xxhash64(id_column, text_column))
+    found = set_table(docs, text_column, [id_column, "_row_hash"], length, percent, share, False)
     table = materialize(found)
-    nodes = materialize(table.where("n > 0").groupBy("key").agg(F.min(id_column).alias("least_id"), *[F.first(c).alias(c) for c in ("n", "low", "high", "_text_hash")])
+    nodes = materialize(table.where("n > 0").groupBy("key").agg(F.min(id_column).alias("least_id"), *[F.first(c).alias(c) for c in ("n", "low", "high")], F.min("_row_hash").alias("_row_hash"))
                         .withColumn("node", F.monotonically_increasing_id()))
     first = materialize(prefixes(nodes.select("node", "n", "low", "high"), percent))
     members = materialize(group_members(first, percent))
     central = members.groupBy("node").agg(F.sum("met").alias("met"))
-    wanted = materialize(nodes.join(central.select("node"), "node", "left_semi").select("node", "key", "_text_hash"))
-    near = docs.join(wanted.select("_text_hash").distinct(), "_text_hash", "left_semi").dropDuplicates(["_text_hash", text_column])
+    wanted = materialize(nodes.join(central.select("node"), "node", "left_semi").select("node", "key", "_row_hash"))
+    near = only_wanted(docs, wanted, "_row_hash")
     whole = set_table(near, text_column, [], length, percent, share, True)
     sets = materialize(whole.join(wanted.select("node", "key"), "key").select("node", "ids").dropDuplicates(["node"]))
     links = materialize(tiles_solved(hub_tiles(members.drop("met").join(central, "node"), sets, block_bytes), percent))
