@@ -4,11 +4,15 @@ Tokenizing: each task encodes every distinct word once (kept in a bounded per-wo
 documents in numpy, so the tokenizer's cost follows the vocabulary and not the text. Only (document, piece, length, checksum)
 rows leave the task.
 
+A text that holds added tokens of the tokenizer (such as an end marker) is cut there first; they are matched in the text as it
+stands and have their own ids, as the tokenizer does it.
+
 Packing: pieces of the full length are sequences of their own. The others are dealt into groups of about ``GROUP`` pieces; in
 a group each piece goes where the sum of the squared counts of open bins per residual gap becomes smallest (a new bin
-included). Bins that end the round open are unpacked, and their pieces form the next round's groups, a small share of the
-pieces each time, until one group is left; its open bins are finally packed again in decreasing order, best fit. So no task
-holds more than a group, and sequences left partly empty exist only in the last one.
+included). Bins that end the round open are unpacked, and their pieces form the next round's groups, half as many at most, of
+``MOST`` times ``GROUP`` pieces at most. The last round is that of one group, or the one in which that bound keeps the number of
+groups, because bins no longer close. There open bins are finally packed again in decreasing order, best fit. So no task holds
+more than that bound, whatever the lengths, and sequences left partly empty exist only in the last round.
 
 Defined cases: a null or empty text is the end id alone; a document of more than ``capacity`` ids is cut into pieces of that
 length and a rest; repeated rows and null ids are packed like any others; other columns are passed by.
@@ -34,6 +38,8 @@ from pyspark.sql import types as T
 from .common import chunks, materialize, need, words
 
 CAPACITY, END_ID, GROUP = 4096, 1, 20_000
+#: A late round's group holds the pieces of so many first ones at most.
+MOST = 10
 #: Most entries of a worker's table of encoded words; it starts anew beyond them.
 KNOWN_WORDS = 600_000
 #: A letter next to ASCII punctuation other than the apostrophe: the tokenizer always splits there.
@@ -49,15 +55,19 @@ def _tokenizer(path: str):
     from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(path)
+    added = {t.content: k for k, t in tokenizer.get_added_tokens_decoder().items()}
+    if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values()):
+        raise ValueError("added tokens that depend on what stands around them are not supported")
+    # what is encoded here lies between added tokens; in lower case it may look like one
     tokenizer.encode_special_tokens = True
     level = ByteLevel(add_prefix_space=False, use_regex=False)
     letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)])}
-    return tokenizer, letters, {}
+    return tokenizer, letters, {}, added
 
 
 def encode_distinct(parts: list[str], path: str) -> list[bytes]:
     """Token ids of each string, as little-endian unsigned 32-bit numbers."""
-    tokenizer, letters, known = _tokenizer(path)
+    tokenizer, letters, known, _ = _tokenizer(path)
     if len(known) > KNOWN_WORDS:
         known.clear()
     odd = [p for p in parts if p not in known and not PLAIN.fullmatch(p)]
@@ -82,6 +92,36 @@ def _gather(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[n
 
 def token_ids(text: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """All ids of all rows, each row closed by the end id, and the number of ids of each row."""
+    added = _tokenizer(path)[3]
+    marked = np.zeros(len(text), bool)
+    for token in added:
+        marked |= pc.match_substring(text, token).to_numpy(zero_copy_only=False)
+    if not marked.any():
+        return _closed(*_plain_ids(text, path), end_id)
+    between = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    parts = [between.split(t) if m else [t] for t, m in zip(text.to_pylist(), marked, strict=True)]
+    count = np.array([len(p) for p in parts])
+    # every second part of a cut text is an added token
+    own = np.array([added[p] if k % 2 else -1 for row in parts for k, p in enumerate(row)], np.int64)
+    flat, size = _plain_ids(pa.array(["" if own_id >= 0 else p for own_id, p in zip(own.tolist(), [p for row in parts for p in row], strict=True)], pa.string()), path)
+    lengths = np.where(own >= 0, 1, size)
+    out = np.empty(lengths.sum(), "<u4")
+    begin = np.cumsum(lengths) - lengths
+    is_own = np.zeros(len(out), bool)
+    is_own[begin[own >= 0]] = True
+    out[is_own], out[~is_own] = own[own >= 0], flat
+    return _closed(out, np.add.reduceat(lengths, np.cumsum(count) - count), end_id)
+
+
+def _closed(flat: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with the end id behind each row's."""
+    out = np.full(len(flat) + len(lengths), end_id, "<u4")
+    out[np.arange(len(flat)) + np.repeat(np.arange(len(lengths)), lengths)] = flat
+    return out, lengths + 1
+
+
+def _plain_ids(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of all rows, which hold no added token, and the number of ids of each row."""
     encoded, rows = words(pc.ascii_lower(text))
     spaced = encoded.dictionary
     for pattern in (rf"(\p{{L}})({PUNCT})", rf"({PUNCT})(\p{{L}})"):
@@ -93,10 +133,7 @@ def token_ids(text: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarr
                           parts.indices.to_numpy(zero_copy_only=False).astype(np.int64))
     ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])]
     flat, size = _gather(flat, np.diff(ends), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-    lengths = np.bincount(rows, weights=size, minlength=len(text)).astype(np.int64)
-    out = np.full(len(flat) + len(text), end_id, "<u4")
-    out[np.arange(len(flat)) + np.repeat(np.arange(len(text)), lengths)] = flat
-    return out, lengths + 1
+    return flat, np.bincount(rows, weights=size, minlength=len(text)).astype(np.int64)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text",
@@ -194,13 +231,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     schema = T.StructType([*pieces.schema, *[T.StructField(n, t) for n, t in added.items()]])
     full = pieces.where(F.col("length") >= capacity)
     out = full.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, groups, level = pieces.where(F.col("length") < capacity), None, 1
-    while groups != 1:
-        # at most half as many groups as before, so that the rounds end even where few bins close
-        groups = max(1, min(rest.count() // group, groups // 2 if groups else rest.count()))
+    rest, groups, last, level = pieces.where(F.col("length") < capacity), None, False, 1
+    while not last:
+        count = rest.count()
+        # at most half as many groups as before, but none of more than ``MOST`` groups' pieces
+        fewer = max(1, -(-count // (MOST * group)), min(count // group, groups // 2 if groups else count))
+        last, groups = fewer == 1 or fewer == groups, fewer
         # dealt in turn, not by a key: equal rows spread over all groups
         dealt = rest.withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
-        placed = materialize(dealt.groupBy("deal").applyInPandas(_placer(capacity, groups == 1, level), schema))
+        placed = materialize(dealt.groupBy("deal").applyInPandas(_placer(capacity, last, level), schema))
         out = out.unionByName(placed.where("closed").drop("closed"))
         rest, level = placed.where("not closed").select(*pieces.columns), level + 1
     return out

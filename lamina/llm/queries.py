@@ -49,7 +49,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("spans")
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

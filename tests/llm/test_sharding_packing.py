@@ -1,11 +1,13 @@
 import os
 import random
 import zlib
+from functools import lru_cache
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import packing, sharding
 
@@ -51,17 +53,21 @@ def test_map_is_greedy_and_rebalancing_moves_into_the_new_shard_only(spark):
     assert abs(grown[5] - mean) < 5 * 1000 and all(grown[k] >= mean - 1 for k in range(5))
 
 
-def reference_ids(text):
+@lru_cache
+def plain_tokenizer():
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
+    return Tokenizer.from_file(PATH)
+
+
+def reference_ids(text):
+    tokenizer = plain_tokenizer()
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def test_ids_are_the_tokenizers(odd_texts):
-    tricky = ["it's don't 'tis we'LL x's", "A.B,C!d?e", "İstanbul ΑΣ ΣΑΣ ﬁ", "éa̸ ≠ a.́b", "naïve café!! ÀÉ çß÷ñ", "<|endoftext|> <|startoftext|>", "a b c",
+    tricky = ["it's don't 'tis we'LL x's", "A.B,C!d?e", "İstanbul ΑΣ ΣΑΣ ﬁ", "éa̸ ≠ a.́b", "naïve café!! ÀÉ çß÷ñ", "<|endoftext|> <|startoftext|>", "end here <|endoftext|> next", "A<|endoftext|>É.<|startoftext|><|startoftext|>x", "<|ENDOFTEXT|> a<|EndOfText|>b", "a b c",
               "x1y22z 3.14 #tag", "日本語 テスト。", "…!… a…b", "'s 's' ''s", "a-b_c", "\x00\x01 a\x1cb", "😀😀a 😀"]
     texts = [t or "" for t in odd_texts] + tricky
     flat, lengths = packing.token_ids(pa.array(texts), PATH)
@@ -108,3 +114,9 @@ def test_packed(spark, odd_docs, odd_texts, no_docs):
         assert len(inside) <= -(-sum(r["length"] for r in rows) // 4096) + 1
     assert packing.packed_documents(odd_docs, PATH).count() >= len(odd_texts)
     assert packing.packed_documents(no_docs, PATH).count() == 0
+
+
+def test_groups_are_bounded_where_no_bin_closes(spark):
+    pieces = packing.materialize(spark.range(30_000).select("id", F.lit(3000).cast("long").alias("length")))
+    rows = packing.pack(pieces, group=1000).groupBy(F.shiftright("sequence_id", 24).alias("group")).agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("bins")).collect()
+    assert sum(r["bins"] for r in rows) == 30_000 and 1000 <= max(r["n"] for r in rows) <= 10_100
