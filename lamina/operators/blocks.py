@@ -3,6 +3,11 @@
 A pixel goes to its own block and to every block within ``radius`` of it, so a
 whole chain of neighbourhood steps costs one shuffle and a task never holds
 more than one block, however large the section is.
+
+Pixels do not travel as rows.  Each task packs what it has read for a block into
+one piece: a row with the coordinates and values as raw numbers.  The strips
+that neighbours need are pieces of their own.  So what is shuffled and sorted
+is a row per piece, hundreds to thousands of times fewer than pixels.
 """
 
 from __future__ import annotations
@@ -11,39 +16,94 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 BLOCK = 256
+NUMPY = {"boolean": "bool", "tinyint": "i1", "smallint": "i2", "int": "i4", "bigint": "i8", "float": "f4", "double": "f8"}
+
+
+#: Pixels that a task gathers before it packs them.
+GATHERED = 1 << 19
 
 
 class Tile:
     """One block with its halo as arrays; ``present`` marks pixels inside the section."""
 
-    def __init__(self, table: pa.Table, values: list[str], block: int, radius: int):
-        self.by, self.bx = table["_by"][0].as_py(), table["_bx"][0].as_py()
+    def __init__(self, pieces: pa.Table, values: dict[str, np.dtype], block: int, radius: int):
+        self.by, self.bx = pieces["_by"][0].as_py(), pieces["_bx"][0].as_py()
         self.size = block + 2 * radius
         self.y0, self.x0 = self.by * block - radius, self.bx * block - radius
-        self.y = table["y"].to_numpy() - self.y0
-        self.x = table["x"].to_numpy() - self.x0
+        self.y = unpacked(pieces, "_y", np.int32) - self.y0
+        self.x = unpacked(pieces, "_x", np.int32) - self.x0
         self.present = np.zeros((self.size, self.size), bool)
         self.present[self.y, self.x] = True
         self.core = np.zeros_like(self.present)
         self.core[radius:radius + block, radius:radius + block] = True
         self.values = {}
-        for name in values:
-            column = table[name].to_numpy()
-            grid = np.zeros((self.size, self.size), column.dtype)
-            grid[self.y, self.x] = column
+        for name, kind in values.items():
+            grid = np.zeros((self.size, self.size), kind)
+            grid[self.y, self.x] = unpacked(pieces, f"_v_{name}", kind)
             self.values[name] = grid
 
     def __getitem__(self, name: str) -> np.ndarray:
         return self.values[name]
 
 
-def _reach(coord: Column, radius: int, block: int) -> Column:
-    low = F.floor(F.greatest(coord - radius, F.lit(0)) / block).cast("int")
-    high = F.floor((coord + radius) / block).cast("int")
-    return F.sequence(low, high)
+def unpacked(pieces: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(pieces[column].to_pylist()), kind)
+
+
+def block_pieces(pixels: DataFrame, keys: list[str], values: list[str], radius: int = 0, block: int = BLOCK) -> tuple[DataFrame, dict[str, np.dtype]]:
+    """Rows ``keys, _by, _bx`` with packed ``_y``, ``_x`` and values of the pixels in a block or within ``radius`` of it; and the values' types."""
+    plain = pixels.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *values)
+    kinds = {f.name: np.dtype(NUMPY[f.dataType.simpleString()]) for f in plain.schema.fields if f.name in values}
+    names = [*keys, "_by", "_bx", "_y", "_x", *[f"_v_{v}" for v in values]]
+    schema = T.StructType([*[plain.schema[k] for k in keys], T.StructField("_by", T.IntegerType()), T.StructField("_bx", T.IntegerType()),
+                           *[T.StructField(n, T.BinaryType()) for n in names[len(keys) + 2:]]])
+
+    def pack(table: pa.Table) -> pa.RecordBatch:
+        y, x = table["y"].to_numpy(), table["x"].to_numpy()
+        columns = [y.astype(np.int32), x.astype(np.int32), *[table[v].to_numpy(zero_copy_only=False).astype(k) for v, k in kinds.items()]]
+        code = np.zeros(len(y), np.int64)
+        for k in keys:
+            own = table[k].combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        # every block whose halo holds the pixel: two a side at most where the radius stays below the block
+        reach = -(-radius // block)
+        by, bx = y // block, x // block
+        rows, tys, txs = [], [], []
+        for dy in range(-reach, reach + 1):
+            for dx in range(-reach, reach + 1):
+                ty, tx = by + dy, bx + dx
+                near = (ty >= 0) & (tx >= 0) & (y >= ty * block - radius) & (y < (ty + 1) * block + radius)
+                at = np.flatnonzero(near & (x >= tx * block - radius) & (x < (tx + 1) * block + radius))
+                rows.append(at)
+                tys.append(ty[at])
+                txs.append(tx[at])
+        row, ty, tx = np.concatenate(rows), np.concatenate(tys), np.concatenate(txs)
+        order = np.lexsort((tx, ty, code[row]))
+        row, ty, tx = row[order], ty[order], tx[order]
+        own = code[row]
+        starts = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (ty[1:] != ty[:-1]) | (tx[1:] != tx[:-1])]) if len(row) else np.zeros(0, np.int64)
+        ends = np.r_[starts[1:], len(row)]
+        packed = [[c[row[a:b]].tobytes() for a, b in zip(starts, ends)] for c in columns]
+        first = pa.array(row[starts])
+        arrays = [*[table[k].combine_chunks().take(first) for k in keys], pa.array(ty[starts], pa.int32()), pa.array(tx[starts], pa.int32()),
+                  *[pa.array(p, pa.binary()) for p in packed]]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= GATHERED:
+                yield pack(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield pack(pa.Table.from_batches(held))
+
+    return plain.mapInArrow(run, schema), kinds
 
 
 def block_map(
@@ -70,7 +130,7 @@ def block_map(
     )
 
     def run(table: pa.Table) -> pa.Table:
-        tile = Tile(table, values, block, radius)
+        tile = Tile(table, kinds, block, radius)
         emit, arrays = fn(tile)
         yy, xx = np.nonzero(emit & tile.core)
         columns = {k: pa.chunked_array([pa.array([table[k][0].as_py()] * len(yy), table.schema.field(k).type)])
@@ -81,13 +141,7 @@ def block_map(
             columns[name] = pa.array(arrays[name][yy, xx]).cast(arrow_types[kind])
         return pa.table(columns)
 
-    routed = (
-        pixels.select(
-            *keys, F.col("y").cast("int"), F.col("x").cast("int"), *values,
-            F.explode(_reach(F.col("y"), radius, block)).alias("_by"),
-        )
-        .select("*", F.explode(_reach(F.col("x"), radius, block)).alias("_bx"))
-    )
+    routed, kinds = block_pieces(pixels, keys, values, radius, block)
     return routed.groupBy(*keys, "_by", "_bx").applyInArrow(run, schema)
 
 

@@ -1,9 +1,10 @@
 """Connected components of any size, their statistics, and hole filling.
 
 Labels are found per block as runs of pixels and joined across block borders
-through an edge table, which is contracted per section: it holds only the parts
-that meet at a border.  Labels come back as runs; a caller that wants pixels
-explodes or joins them.
+through an edge table, which holds only the parts that meet at a border.  It is
+contracted in two levels: cells of blocks, a bounded task each, then alternating
+stars on the edges between cells, so no task holds a section.  Labels come back
+as runs; a caller that wants pixels explodes or joins them.
 A component's label is ``first_y * 2**24 + first_x`` of its first pixel in
 raster order, so labels do not depend on block size or partitioning.
 """
@@ -15,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .blocks import BLOCK
+from .blocks import BLOCK, block_pieces, unpacked
 
 STRIDE = 1 << 24           # label = y * STRIDE + x
+CELL_BLOCKS = 16           # blocks a side of a cell, the first level of contraction
 
 
 def _contract(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,7 +67,7 @@ def _block_runs(pixels: DataFrame, keys: list[str], connectivity: int, block: in
     diagonal = 1 if connectivity == 8 else 0
 
     def run(table: pa.Table) -> pa.Table:
-        ry, x0, x1, label = _runs_of_block(table["y"].to_numpy(), table["x"].to_numpy(), diagonal)
+        ry, x0, x1, label = _runs_of_block(unpacked(table, "_y", np.int32), unpacked(table, "_x", np.int32), diagonal)
         n = len(ry)
         columns = {k: pa.array([table[k][0].as_py()] * n, table.schema.field(k).type) for k in keys}
         columns.update(y=pa.array(ry.astype(np.int32)), x0=pa.array(x0.astype(np.int32)),
@@ -73,12 +75,8 @@ def _block_runs(pixels: DataFrame, keys: list[str], connectivity: int, block: in
         return pa.table(columns)
 
     schema = _key_schema(pixels, keys) + ", y int, x0 int, x1 int, part bigint"
-    return (
-        pixels.select(*keys, F.col("y").cast("int"), F.col("x").cast("int"),
-                      F.floor(F.col("y") / block).alias("_by"), F.floor(F.col("x") / block).alias("_bx"))
-        .groupBy(*keys, "_by", "_bx")
-        .applyInArrow(run, schema)
-    )
+    pieces, _ = block_pieces(pixels, keys, [], 0, block)
+    return pieces.groupBy(*keys, "_by", "_bx").applyInArrow(run, schema)
 
 
 def _border_edges(runs: DataFrame, keys: list[str], connectivity: int, block: int) -> DataFrame:
@@ -101,31 +99,80 @@ def _border_edges(runs: DataFrame, keys: list[str], connectivity: int, block: in
     )
 
 
-def _contract_per_key(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Contraction of one section's (or one key's) edges per task; only parts that meet at a block border have edges."""
+def _contract_in_cells(edges: DataFrame, keys: list[str], cell: list[str]) -> DataFrame:
+    """``keys, part, label``: the least part that each part reaches by the edges of its cell; one cell per task."""
 
     def run(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas()
-        code = frame.groupby(keys, sort=False).ngroup().to_numpy()
-        both = np.concatenate([
-            np.stack([code, frame["a"].to_numpy()], 1), np.stack([code, frame["b"].to_numpy()], 1)])
-        nodes, index = np.unique(both, axis=0, return_inverse=True)
-        index = index.reshape(-1)
-        n = len(frame)
+        nodes, index = np.unique(np.concatenate([table["a"].to_numpy(), table["b"].to_numpy()]), return_inverse=True)
+        n = table.num_rows
         root = _contract(len(nodes), index[:n], index[n:])
-        first_row = np.unique(code, return_index=True)[1]
-        out = {k: pa.array(frame[k].to_numpy()[first_row][nodes[:, 0]]).cast(table.schema.field(k).type) for k in keys}
-        out["part"] = pa.array(nodes[:, 1])
-        out["label"] = pa.array(nodes[root, 1])
-        return pa.table(out)
+        out = {k: pa.array([table[k][0].as_py()] * len(nodes), table.schema.field(k).type) for k in keys}
+        return pa.table(out | {"part": pa.array(nodes), "label": pa.array(nodes[root])})
+
+    return edges.groupBy(*keys, *cell).applyInArrow(run, _key_schema(edges, keys) + ", part bigint, label bigint")
+
+
+def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Ties every larger neighbour of a node to the least of the node and its neighbours."""
+    both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy(*keys, "a").agg(F.least("a", F.min("b")).alias("m"))
+    return both.join(least, [*keys, "a"]).where("b > a").select(*keys, F.col("m").alias("a"), "b").where("a <> b").distinct()
+
+
+def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Ties a node and its smaller neighbours to the least of these; edges have a < b."""
+    least = edges.groupBy(*keys, "b").agg(F.min("a").alias("m"))
+    tied = edges.join(least, [*keys, "b"]).select(*keys, F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b")
+    return tied.unionByName(least.select(*keys, F.col("m").alias("a"), "b")).distinct()
+
+
+def spread_groups(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, part, label`` of any edges ``a, b``: the least part that each part reaches, by alternating stars.
+
+    No task holds a key's edges: every round is a few joins and groupings on
+    (key, part).  A table without edges costs no round.
+    """
+    now = materialize(edges.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    state = None
+    while True:
+        # an order-free digest of the edges; two equal ones in a row mean that every part is tied to its least one
+        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first()
+        if new == state or not new[0]:
+            break
+        state, now = new, materialize(_small_star(_large_star(now, keys), keys))
+    ends = now.select(*keys, F.col("b").alias("part"), F.col("a").alias("label"))
+    return ends.unionByName(now.select(*keys, F.col("a").alias("part"), F.col("a").alias("label")).distinct())
+
+
+def contracted_parts(edges: DataFrame, keys: list[str], block: int = BLOCK, cell_blocks: int = CELL_BLOCKS) -> DataFrame:
+    """``keys, part, label`` of parts that meet at block borders, in two levels.
+
+    Edges between parts of one cell (``cell_blocks`` blocks a side) are
+    contracted cell by cell; their number is bounded by the cell's inner
+    borders.  What is left are edges between cells, with their ends replaced by
+    the cells' own labels; those are tied by alternating stars.
+    """
+    side = block * cell_blocks
+
+    def cell(part: str):
+        return F.struct(F.floor(F.col(part) / STRIDE / side).alias("cy"), F.floor(F.col(part) % STRIDE / side).alias("cx"))
 
-    schema = _key_schema(edges, keys) + ", part bigint, label bigint"
-    return edges.groupBy(*keys).applyInArrow(run, schema)
+    placed = materialize(edges.withColumn("_cell", cell("a")).withColumn("_other", cell("b")))
+    inner = materialize(_contract_in_cells(placed.where("_cell = _other"), keys, ["_cell"]))
+    crossing = placed.where("_cell <> _other").select(*keys, "a", "b")
+    for end in ("a", "b"):
+        own = inner.select(*keys, F.col("part").alias(end), F.col("label").alias("_to"))
+        crossing = crossing.join(own, [*keys, end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    outer = spread_groups(crossing, keys).select(*keys, F.col("part").alias("_part"), F.col("label").alias("_label"))
+    known = inner.unionByName(outer.select(*keys, F.col("_part").alias("part"), F.col("_part").alias("label")).join(
+        inner.select(*keys, "part"), [*keys, "part"], "left_anti"))
+    return known.withColumn("_part", F.col("label")).join(outer, [*keys, "_part"], "left").select(
+        *keys, "part", F.coalesce("_label", "label").alias("label"))
 
 
 def connected_groups(edges: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, part, label``: the smallest node reachable from each node of the edges ``a, b``."""
-    return _contract_per_key(edges, keys)
+    return spread_groups(edges, keys)
 
 
 def label_runs(
@@ -136,7 +183,7 @@ def label_runs(
 ) -> DataFrame:
     """Runs ``keys, y, x0, x1, label`` of the components of the given pixels."""
     runs = materialize(_block_runs(pixels, keys, connectivity, block))
-    mapping = _contract_per_key(_border_edges(runs, keys, connectivity, block), keys)
+    mapping = contracted_parts(_border_edges(runs, keys, connectivity, block), keys, block)
     return (
         runs.join(mapping, [*keys, "part"], "left")
         .select(*keys, "y", "x0", "x1", F.coalesce("label", "part").alias("label"))
