@@ -80,23 +80,24 @@ def _block_runs(pixels: DataFrame, keys: list[str], connectivity: int, block: in
 
 
 def _border_edges(runs: DataFrame, keys: list[str], connectivity: int, block: int) -> DataFrame:
-    """Pairs of block labels that meet across a block border."""
-    edge_row = (F.col("y") % block).isin(0, block - 1)
-    at_border = F.when(edge_row, F.sequence("x0", "x1")).otherwise(
-        F.filter(F.array_distinct(F.array("x0", "x1")), lambda v: (v % block).isin(0, block - 1)))
-    pixels = runs.select(*keys, "y", F.explode(at_border).alias("x"), "part")
-    steps = [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if connectivity == 8 else [])
-    forward = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps])
-    left = (
-        pixels.select(*keys, "y", "x", F.col("part").alias("a"), F.explode(forward).alias("d"))
-        .select(*keys, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), "a")
-    )
-    return (
-        left.join(pixels.withColumnRenamed("part", "b"), [*keys, "y", "x"])
-        .where("a <> b")
-        .select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+    """Pairs of block labels that meet across a block border, from the runs at the borders; no pixel rows are made."""
+    diagonal = 1 if connectivity == 8 else 0
+    bx = F.floor(F.col("x0") / block).cast("int")
+    at_left, at_right = F.col("x0") % block == 0, F.col("x1") % block == block - 1
+    # across a horizontal border: the last row of a block and the first one of the blocks below
+    below = F.array(bx)
+    if diagonal:
+        below = F.array_compact(F.array(bx, F.when(at_left, bx - 1), F.when(at_right, bx + 1)))
+    upper = runs.where(F.col("y") % block == block - 1).select(
+        *keys, (F.col("y") + 1).alias("_y"), F.explode(below).alias("_bx"), (F.col("x0") - diagonal).alias("_from"), (F.col("x1") + diagonal).alias("_to"), F.col("part").alias("a"))
+    lower = runs.where(F.col("y") % block == 0).select(*keys, F.col("y").alias("_y"), bx.alias("_bx"), "x0", "x1", F.col("part").alias("b"))
+    down = upper.join(lower, [*keys, "_y", "_bx"]).where("x0 <= _to and x1 >= _from").select(*keys, "a", "b")
+    # across a vertical border: runs that end there and runs that start behind it
+    rows = F.array(*[F.col("y") + dy for dy in range(-diagonal, diagonal + 1)])
+    ending = runs.where(at_right).select(*keys, F.explode(rows).alias("_y"), (F.col("x1") + 1).alias("_x"), F.col("part").alias("a"))
+    starting = runs.where(at_left).select(*keys, F.col("y").alias("_y"), F.col("x0").alias("_x"), F.col("part").alias("b"))
+    across = ending.join(starting, [*keys, "_y", "_x"]).select(*keys, "a", "b")
+    return down.unionByName(across).select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _contract_in_cells(edges: DataFrame, keys: list[str], cell: list[str]) -> DataFrame:

@@ -10,8 +10,8 @@ from ..functions import colour
 from ..functions.ordered import number_in_order
 from ..functions.scalars import argmax4
 from ..session import materialize
-from .raster_queries import AT, BLUR, CLS, DIST, E3, E5, E7, GREY, HSV_SQL, K, LAT, W, dilate_sql, erode_sql, grey, labels_sql
-from .rasters import BLOCK, raster
+from .raster_queries import AT, BLUR, CLS, DIST, E3, E5, E7, GREY, HSV_SQL, K, LAT, TALL, W, WIDE, _LATTICE_U, dilate_sql, erode_sql, grey, labels_sql, uneven, uneven_raster
+from .rasters import BLOCK, raster, sections
 from .registry import query, table
 
 
@@ -102,7 +102,16 @@ def _(spark, sf):
 r as (select section_id, l_orderkey, l_linenumber, cx, sqrt((center_x - cx) ** 2 + (center_y - cy) ** 2) * 0.884 as radius_um from pts left join o using (section_id))
 select section_id, l_orderkey, l_linenumber, round(cx, 6) as origin_x, round(radius_um, 6) as radius_um, round(radius_um / max(radius_um) over (partition by section_id), 6) as radius_frac from r""")
 def _(spark, sf):
-    origin = resample.tissue_centroid(raster(spark, sf, "gt"), K, 8)
+    origin = resample.tissue_centroid(raster(spark, sf, "gt"), K, sections(spark, sf), 8)
+    return cohort.radial_position(_points(spark, sf), K, origin=origin).select(
+        "section_id", "l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in ("origin_x", "radius_um", "radius_frac")])
+
+
+@query("e13_punch_centroid_uneven", f"""{W('gt')}, {_POINTS}, {uneven('gt', 'cls')}, {_LATTICE_U},
+r as (select section_id, l_orderkey, l_linenumber, cx, sqrt((center_x - cx) ** 2 + (center_y - cy) ** 2) * 0.884 as radius_um from pts left join cen using (section_id))
+select section_id, l_orderkey, l_linenumber, round(cx, 6) as origin_x, round(radius_um, 6) as radius_um, round(radius_um / max(radius_um) over (partition by section_id), 6) as radius_frac from r""")
+def _(spark, sf):
+    origin = resample.tissue_centroid(uneven_raster(spark, sf, "gt").where("cls <> 0"), K, sections(spark, sf, TALL, WIDE), 8)
     return cohort.radial_position(_points(spark, sf), K, origin=origin).select(
         "section_id", "l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in ("origin_x", "radius_um", "radius_frac")])
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import colour, scalars
 from ..functions.fixed import CLASS_NAMES, PALETTE
 from ..operators import blocks, components, distance, evaluation, morphology
-from .rasters import BLOCK, raster, raster_cte
+from .rasters import BLOCK, raster, raster_cte, sections
 from .registry import query
 
 K = ["section_id"]
@@ -119,7 +119,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators import resample
 
-    out = resample.area_mean(raster(spark, sf, "image"), K, 2)
+    out = resample.area_mean(raster(spark, sf, "image"), K, sections(spark, sf), 32)
     return out.select("section_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"),
                       *[F.round(c, 6).alias(c) for c in ("r", "g", "b")])
 
@@ -129,10 +129,52 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators import resample
 
-    return resample.tissue_centroid(raster(spark, sf, "gt"), K, 8).select(
+    return resample.tissue_centroid(raster(spark, sf, "gt"), K, sections(spark, sf), 8).select(
         "section_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
+#: Sides that differ and are no multiples of anything here.
+TALL, WIDE = 67, 90
+
+
+def uneven(name: str, columns: str) -> str:
+    """CTE of a raster stretched to ``TALL`` by ``WIDE`` pixels."""
+    return f"{name}_u as materialized (select section_id, ty as y, tx as x, {columns} from range({TALL}) a(ty), range({WIDE}) b(tx) join {name} on {name}.y = ty * 64 // {TALL} and {name}.x = tx * 64 // {WIDE})"
+
+
+def uneven_raster(spark, sf, kind):
+    from ..operators import resample
+
+    return resample.nearest(raster(spark, sf, kind), K, (64, 64), (TALL, WIDE))
+
+
+_LATTICE_U = f"""seen as (select section_id, t, u from range({TALL // 8}) p(t), range({WIDE // 8}) q(u) join gt_u on y = floor((t + 0.5) * ({TALL}.0e0 / {TALL // 8})) and x = floor((u + 0.5) * ({WIDE}.0e0 / {WIDE // 8})) where cls <> 0),
+cen as (select section_id, (avg(u) + 0.5) * 8 as cx, (avg(t) + 0.5) * 8 as cy from seen group by 1)"""
+
+
+@query("b23_subsample_centroid_uneven", f"{W('gt')}, {uneven('gt', 'cls')}, {_LATTICE_U} select section_id, round(cx, 6) as cx, round(cy, 6) as cy from cen")
+def _(spark, sf):
+    from ..operators import resample
+
+    # stored without background, so that the mask's own rows do not tell its sides
+    mask = uneven_raster(spark, sf, "gt").where("cls <> 0")
+    return resample.tissue_centroid(mask, K, sections(spark, sf, TALL, WIDE), 8).select("section_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+
+
+def _shares(axis: str, side: int, cells: int) -> str:
+    return (f"{axis}s as materialized (select {axis}, c{axis}, least({axis} + 1, (c{axis} + 1) * {side}.0e0 / {cells}) - greatest({axis}, c{axis} * {side}.0e0 / {cells}) as s{axis} "
+            f"from range({side}) p({axis}), range({cells}) q(c{axis}) where s{axis} > 1e-9)")
+
+
+@query("b22_area_downscale_uneven", f"""{W('image')}, {uneven('image', 'r, g, b')}, {_shares('y', TALL, int(TALL * (40 / WIDE)))}, {_shares('x', WIDE, int(WIDE * (40 / WIDE)))}
+select section_id, cy as y, cx as x, {', '.join(f'round(sum({c} * sy * sx) / sum(sy * sx), 6) as {c}' for c in 'rgb')} from image_u join ys using (y) join xs using (x) group by all""")
+def _(spark, sf):
+    from ..operators import resample
+
+    out = resample.area_mean(uneven_raster(spark, sf, "image"), K, sections(spark, sf, TALL, WIDE), 40)
+    return out.select("section_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), *[F.round(c, 6).alias(c) for c in ("r", "g", "b")])
+
+
 # ---- neighbourhood ------------------------------------------------------------
 
 E3, E5, E7 = blocks.ellipse(3), blocks.ellipse(5), blocks.ellipse(7)

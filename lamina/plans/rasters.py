@@ -138,6 +138,12 @@ def raster(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return out.withColumn("y", F.col("y").cast("int")).withColumn("x", F.col("x").cast("int"))
 
 
+def sections(spark: SparkSession, sf_dir: str, height: int = SIDE, width: int = SIDE) -> DataFrame:
+    """The sides of every section."""
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.col("s_suppkey").alias("section_id"), F.lit(height).alias("height"), F.lit(width).alias("width"))
+
+
 def raster_cte(kind: str, name: str) -> str:
     """``name as materialized (...)`` for the other engine."""
     return f"{name} as materialized ({raster_sql(kind, False)})"

@@ -260,13 +260,62 @@ def test_resampling_of_uneven_sides(spark, to_pixels):
     mask[rng.random(mask.shape) < 0.5] = 0
     sy, sx = 67 / (67 // 8), 90 / (90 // 8)
     seen = [(t, u) for t in range(67 // 8) for u in range(90 // 8) if mask[int((t + 0.5) * sy), int((u + 0.5) * sx)]]
-    got = resample.tissue_centroid(to_pixels({"S": mask}), K, 8).first()
-    assert (got["cy"], got["cx"]) == pytest.approx([(np.mean([p[k] for p in seen]) + 0.5) * s for k, s in ((0, sy), (1, sx))])
-    colour_px = to_pixels({"S": rng.integers(0, 256, (13, 17))}, "r").withColumns({"g": F.col("r") + 1, "b": F.col("r") * 2})
+    sides = spark.createDataFrame([("S", 67, 90), ("T", 13, 17), ("U", 13, 17)], "section_id string, height int, width int")
+    got = resample.tissue_centroid(to_pixels({"S": mask}).where("cls <> 0"), K, sides, 8).first()
+    # a cell counts as step pixels, not as its share of the side
+    assert (got["cy"], got["cx"]) == pytest.approx([(np.mean([p[k] for p in seen]) + 0.5) * 8 for k in (0, 1)])
+    colour_px = to_pixels({"T": rng.integers(0, 256, (13, 17))}, "r").withColumns({"g": F.col("r") + 1, "b": F.col("r") * 2})
     grid = np.zeros((13, 17))
     for r in colour_px.collect():
         grid[r["y"], r["x"]] = r["r"]
-    fine = np.kron(grid, np.ones((10, 10)))  # a factor of 1.7 is 17 fine pixels
-    for r in resample.area_mean(colour_px, K, 1.7).collect():
-        cell = fine[r["y"] * 17 : r["y"] * 17 + 17, r["x"] * 17 : r["x"] * 17 + 17]
+    fine = np.kron(grid, np.ones((7, 10)))  # seven cells of 13 fine rows, ten cells of 17 fine columns
+    rows = resample.area_mean(colour_px, K, sides, 10).collect()
+    assert {(r["y"], r["x"]) for r in rows} == {(y, x) for y in range(7) for x in range(10)}
+    for r in rows:
+        cell = fine[r["y"] * 13 : r["y"] * 13 + 13, r["x"] * 17 : r["x"] * 17 + 17]
         assert r["r"] == pytest.approx(cell.mean()) and r["b"] == pytest.approx(2 * cell.mean())
+    same = {(r["y"], r["x"]): r["r"] for r in resample.area_mean(colour_px, K, sides, 20).collect()}
+    assert same == {(y, x): grid[y, x] for y in range(13) for x in range(17)}
+
+
+def test_contraction_of_one_section_with_nearly_all_edges(spark):
+    from lamina.operators import components
+
+    rng = np.random.default_rng(3)
+    side = 64 * components.STRIDE
+    parts = [int(y) * components.STRIDE + int(x) for y in range(0, 400, 4) for x in range(0, 400, 4)]
+    pairs = {("S", parts[i], parts[j]) for i, j in rng.integers(0, len(parts), (6000, 2)) if i != j and abs(parts[i] - parts[j]) < side}
+    pairs |= {("S", a, b) for a, b in zip(parts[::100], parts[100::100])} | {("T", parts[0], parts[5]), (None, parts[1], parts[2])}
+    edges = spark.createDataFrame([(k, min(a, b), max(a, b)) for k, a, b in pairs], "section_id string, a long, b long").where("section_id is not null")
+    parent: dict = {}
+
+    def root(k):
+        while parent.setdefault(k, k) != k:
+            k = parent[k]
+        return k
+
+    for k, a, b in pairs:
+        if k:
+            lo, hi = sorted((root((k, a)), root((k, b))))
+            parent[hi] = lo
+    want = {k: root(k)[1] for k in list(parent)}
+    for got in (components.contracted_parts(edges, K, 8, 2), components.contracted_parts(edges, K, 256, 16), components.connected_groups(edges, K)):
+        rows = got.collect()
+        assert len(rows) == len(want) and {(r["section_id"], r["part"]): r["label"] for r in rows} == want
+    assert components.connected_groups(edges.limit(0), K).count() == 0
+
+
+def test_pieces_hold_every_pixel_of_a_halo(spark, to_pixels):
+    from lamina.operators import blocks
+
+    grid = np.arange(37 * 23).reshape(37, 23)
+    pixels = to_pixels({"S": grid, None: grid + 1000}, "v")
+    for radius, block in ((0, 8), (3, 8), (11, 4)):
+        pieces, kinds = blocks.block_pieces(pixels, K, ["v"], radius, block)
+        got: dict = {}
+        for r in pieces.collect():
+            for y, x, v in zip(np.frombuffer(r["_y"], np.int32), np.frombuffer(r["_x"], np.int32), np.frombuffer(r["_v_v"], kinds["v"])):
+                got[r["section_id"], r["_by"], r["_bx"], int(y), int(x)] = int(v)
+        want = {(s, by, bx, y, x): int(grid[y, x]) + (0 if s else 1000) for s in ("S", None) for y in range(37) for x in range(23) for by in range((37 + radius) // block + 1)
+                for bx in range((23 + radius) // block + 1) if by * block - radius <= y < (by + 1) * block + radius and bx * block - radius <= x < (bx + 1) * block + radius}
+        assert got == want
