@@ -1,5 +1,7 @@
 """Raster operators against slow versions on random masks; results must not depend on blocks."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +126,23 @@ def test_blended_border_is_resolved(spark, to_pixels):
 
 def test_label_is_first_pixel():
     assert STRIDE == 1 << 24
+
+
+def test_column_pass_is_exact_and_not_quadratic():
+    from lamina.operators.distance import FAR, _column_pass
+
+    rng = np.random.default_rng(4)
+    for height in (1, 2, 3, 5, 8, 31, 64, 100):
+        strip = rng.integers(0, 60, (height, 7)).astype(np.int64) ** 2
+        strip[rng.random(strip.shape) < 0.4] = FAR
+        strip[:, 3] = FAR
+        y = np.arange(height)
+        want = (strip[None] + ((y[:, None] - y[None]) ** 2)[:, :, None]).min(1)
+        assert (_column_pass(strip)[strip.min(0)[None].repeat(height, 0) < FAR] == want[strip.min(0)[None].repeat(height, 0) < FAR]).all()
+        assert (_column_pass(strip)[:, 3] >= FAR).all()
+    tall = np.full((60_000, 8), FAR, np.int64)
+    tall[0] = tall[-1] = 0
+    y = np.arange(60_000)
+    start = time.perf_counter()
+    assert (_column_pass(tall) == (np.minimum(y, 59_999 - y) ** 2)[:, None]).all()
+    assert time.perf_counter() - start < 10
