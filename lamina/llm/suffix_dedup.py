@@ -11,6 +11,13 @@
    is split along its tries. No pairs are formed.
 5. Spans of a document are merged and cut out.
 
+Hot grams. A gram with more than ``HOT`` anchors is not sorted as one group. Of two anchors that repeat LENGTH bytes, the common
+part is three fifths of LENGTH or more on the right or more than two fifths on the left, so such anchors are dealt by the bytes on
+either side instead, and anchors that meet no other on either side go no further. Groups that are still larger than HOT (the
+edges of a passage in very many documents) are settled by counting: every window of theirs is hashed, each chunk of texts gives
+each window once, and windows are summed by gram and hash. A sorted group so has at most HOT contexts of less than
+2 * LENGTH bytes, whatever the corpus. Sizes of groups are counted in ``SALTS`` parts, so no task reads a hot gram whole.
+
 Equal texts take part once and share the result; of texts that occur more often, everything is repeated. Matches never cross
 documents. Rows are numbered once, in a stored table that holds their texts; every later step reads that table.
 
@@ -34,6 +41,8 @@ from pyspark.sql import types as T
 from .common import chunks, materialize, mix, need, numbered
 
 LENGTH, GRAM, SHALLOW, HELD_BYTES = 400, 64, 128, 12 << 20
+#: Most contexts that are sorted as one group, and the parts in which the members of groups are counted.
+HOT, SALTS = 4096, 64
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -268,30 +277,111 @@ def anchor_table(docs: DataFrame, id_column: str, text_column: str, length: int,
     return docs.mapInArrow(run, schema)
 
 
+def _listed(batch: pa.RecordBatch, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StructArray]:
+    """A chunk's bytes, where its texts start and end, each listed anchor's row in the chunk, and the anchors."""
+    raw, cut = _buffer(text)
+    lists = batch.column("anchors")
+    return raw, cut, np.repeat(np.arange(len(text)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten()
+
+
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
-    """gram, _row, at, lo and the bytes of all windows of each listed anchor; docs: _row, text, anchors."""
+    """group, _row, at, lo and the bytes of all windows of each listed anchor; docs: _row, text, anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in chunks(batches, "text"):
-            raw, cut = _buffer(text)
-            lists = batch.column("anchors")
-            count = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten()
-            gram, at, lo, hi = (flat.field(n) for n in ("gram", "at", "lo", "hi"))
-            row = np.repeat(np.arange(len(text)), count)
+            raw, cut, row, flat = _listed(batch, text)
+            group, at, lo, hi = (flat.field(n) for n in ("group", "at", "lo", "hi"))
             data, base = raw.tobytes(), cut[row]
             pieces = [data[a:b] for a, b in zip((base + lo.to_numpy()).tolist(), (base + hi.to_numpy() + length).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([gram, batch.column("_row").take(pa.array(row)), at, lo, pa.array(pieces, pa.binary())], ["gram", "_row", "at", "lo", "context"])
+            yield pa.RecordBatch.from_arrays([group, batch.column("_row").take(pa.array(row)), at, lo, pa.array(pieces, pa.binary())], ["group", "_row", "at", "lo", "context"])
+
+    return docs.mapInArrow(run, "group long, _row long, at int, lo int, context binary")
+
+
+def _sides(docs: DataFrame, length: int) -> DataFrame:
+    """Two rows at most for each listed anchor: the hash of the bytes that a partner shares on the right, or on the left.
+
+    Common parts of ``length`` bytes in all leave length - half bytes or more on the right or half + 1 on the left; a side of a
+    context that is shorter than that has no such partner.
+    """
+    half = length * 2 // 5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text in chunks(batches, "text", 2 << 20):
+            raw, cut, row, flat = _listed(batch, text)
+            gram, at, lo, hi = (flat.field(n).to_numpy() for n in ("group", "at", "lo", "hi"))
+            number = batch.column("_row").to_numpy()[row]
+            for side, size, first, enough in ((1, length - half, at, hi + length - at >= length - half), (2, half + 1, at - half - 1, at - lo > half)):
+                k = np.flatnonzero(enough)
+                if len(k):
+                    shared = gram_hashes(raw, size)[(cut[row] + first)[k]]
+                    key = mix(shared + mix(gram[k].view(np.uint64) + np.uint64(side)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), gram[k], number[k], at[k], lo[k], hi[k])], ["group", "gram", "_row", "at", "lo", "hi"])
 
-    return docs.mapInArrow(run, "gram long, _row long, at int, lo int, context binary")
+    return docs.mapInArrow(run, "group long, gram long, _row long, at int, lo int, hi int")
+
+
+def _counted_repeats(docs: DataFrame, length: int) -> DataFrame:
+    """_row, start and end of repeated stretches around listed anchors, by counting their windows; nothing is held by group.
+
+    A window that a chunk holds twice is settled there and only counted elsewhere; all others are met by gram and hash, at most once a
+    chunk. Windows of one anchor overlap in its gram, so the first and the last repeated one bound a single stretch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text in chunks(batches, "text", 2 << 20):
+            raw, cut, row, flat = _listed(batch, text)
+            if not len(row):
+                continue
+            gram, at, lo, hi = (flat.field(n).to_numpy() for n in ("group", "at", "lo", "hi"))
+            size = hi.astype(np.int64) - lo + 1
+            own = np.repeat(np.arange(len(size)), size)
+            start = np.arange(len(own)) - np.repeat(np.cumsum(size) - size - lo, size)
+            hashes = gram_hashes(raw, length)[cut[row][own] + start]
+            order = np.lexsort((hashes, gram[own]))
+            g, h = gram[own][order], hashes[order]
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])
+            first = np.flatnonzero(new)
+            count = np.diff(np.concatenate([first, [len(order)]]))
+            twice = np.empty(len(order), bool)
+            twice[order] = np.repeat(count > 1, count)
+            # settled here: the stretch of an anchor's windows that this chunk holds twice
+            w = np.flatnonzero(twice)
+            left, right = np.full(len(size), np.iinfo(np.int32).max), np.full(len(size), -1)
+            np.minimum.at(left, own[w], start[w])
+            np.maximum.at(right, own[w], start[w])
+            k = np.flatnonzero(right >= 0)
+            number = batch.column("_row").to_numpy()[row]
+            e = order[first]
+            parts = [(np.zeros(len(k), np.int32), gram[k], np.zeros(len(k), np.int64), number[k], at[k], left[k], right[k]),
+                     (np.minimum(count, 2), gram[own][e], hashes[e].view(np.int64), number[own][e], at[own][e], start[e], start[e])]
+            for part in parts:
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                for a in range(0, len(part[0]), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]).cast(t) for x, t in zip(part, kinds, strict=True)],
+                                                     ["n", "gram", "hash", "_row", "at", "first", "last"])
+
+    windows = materialize(docs.mapInArrow(run, "n int, gram long, hash long, _row long, at int, first int, last int"), "zstd")
+    often = windows.where("n > 0").groupBy("gram", "hash").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "hash")
+    met = windows.where("n = 1").join(often, ["gram", "hash"], "left_semi").groupBy("_row", "at").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    both = met.unionByName(windows.where("n = 0").select("_row", "at", "first", "last"))
+    return both.select("_row", F.col("first").alias("start"), (F.col("last") + length).cast("int").alias("end"))
+
+
+def _sized(rows: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Rows of groups of two or more with their group's size ``n``; counted and joined in parts, so that no task reads a hot group whole."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
+    parts = rows.groupBy("group", "_salt").agg(F.count(F.lit(1)).alias("n"))
+    total = parts.groupBy("group").agg(F.sum("n").alias("n"), F.collect_list("_salt").alias("_salt")).where("n > 1")
+    return rows.join(total.select("group", "n", F.explode("_salt").alias("_salt")), ["group", "_salt"]).drop("_salt")
 
 
 def _repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """_row, start and end of repeated stretches; the contexts are dealt and sorted by gram; a group is held whole."""
+    """_row, start and end of repeated stretches; the contexts are dealt and sorted by group; a group has at most HOT of them."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        gram, at, lo = (table.column(n).to_numpy() for n in ("gram", "at", "lo"))
-        left, right = spans(gram, table.column("context").to_pylist(), (at - lo).astype(np.int64), length)
+        group, at, lo = (table.column(n).to_numpy() for n in ("group", "at", "lo"))
+        left, right = spans(group, table.column("context").to_pylist(), (at - lo).astype(np.int64), length)
         hit = left + right >= length
         return pa.RecordBatch.from_arrays([pa.array(table.column("_row").to_numpy()[hit]), pa.array((at - left)[hit].astype(np.int32)),
                                            pa.array((at + right)[hit].astype(np.int32))], ["_row", "start", "end"])
@@ -305,8 +395,8 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
             size += batch.nbytes
             if size > HELD_BYTES:
                 table = pa.Table.from_batches(held)
-                gram = table.column("gram").to_numpy()
-                done = int(np.searchsorted(gram, gram[-1]))  # the last group may go on in the next batch
+                group = table.column("group").to_numpy()
+                done = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
                 if done:
                     yield solve(table.slice(0, done))
                     held = table.slice(done).combine_chunks().to_batches()
@@ -314,20 +404,39 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "_row long, start int, end int")
+    return contexts.repartition("group").sortWithinPartitions("group").mapInArrow(run, "_row long, start int, end int")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("_row").agg(F.collect_list(F.struct("group", "at", "lo", "hi")).alias("anchors"))
+
+
+def _hot_repeats(held: DataFrame, length: int, hot: int) -> DataFrame:
+    """_row, start and end of repeated stretches around the listed anchors of hot grams; held: _row, text, anchors."""
+    sides = materialize(_sized(_sides(held, length)))
+    texts = held.select("_row", "text")
+    sorted_ = texts.join(_by_row(sides.where(F.col("n") <= hot)), "_row")
+    # here the gram is the group: windows are told apart by their gram and their hash
+    large = sides.where(F.col("n") > hot).select("_row", F.col("gram").alias("group"), "at", "lo", "hi").distinct()
+    return _repeats(_contexts(sorted_, length), length).unionByName(_counted_repeats(texts.join(_by_row(large), "_row"), length))
 
 
-def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM,
+                 hot: int = HOT) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and the removed stretches as ``spans``."""
     docs = numbered(need(docs, id_column, text_column))
     table = materialize(anchor_table(docs, id_column, text_column, length, gram))
     texts = materialize(table.groupBy("key").agg(F.min("_row").alias("_row"), F.count(F.lit(1)).alias("copies"), F.min_by("anchors", "_row").alias("anchors")))
-    listed = texts.select("_row", F.explode("anchors").alias("x")).select("_row", "x.*")
-    often = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    wanted = listed.join(often, "gram", "left_semi").groupBy("_row").agg(F.collect_list(F.struct("gram", "at", "lo", "hi")).alias("anchors"))
+    listed = texts.select("_row", F.explode("anchors").alias("x")).select("_row", F.col("x.gram").alias("group"), "x.at", "x.lo", "x.hi")
+    one = F.struct("group", "at", "lo", "hi")
+    wanted = _sized(listed).groupBy("_row").agg(*[F.collect_list(F.when(cold, one)).alias(name) for name, cold in (("anchors", F.col("n") <= hot), ("hot", F.col("n") > hot))])
     full = docs.select(F.col(text_column).alias("text"), "_row")
     held = materialize(full.join(wanted, "_row"), "zstd")
-    found = materialize(_repeats(_contexts(held.select("_row", "text", "anchors"), length), length))
+    found = _repeats(_contexts(held.where(F.size("anchors") > 0).select("_row", "text", "anchors"), length), length)
+    hot_rows = held.where(F.size("hot") > 0).select("_row", "text", F.col("hot").alias("anchors"))
+    if not hot_rows.isEmpty():
+        found = found.unionByName(_hot_repeats(hot_rows, length, hot))
+    found = materialize(found)
     per_text = found.groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,6 +135,21 @@ def test_suffix_dedup(spark, odd_docs, odd_texts, no_docs):
     assert suffix_dedup.deduplicated(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 4, 20])
+def test_suffix_dedup_splits_hot_grams(spark, hot):
+    """A passage in most documents, whole and cut, runs of one byte, and repeats inside a document; every group above ``hot`` is split."""
+    rnd = random.Random(hot)
+    passage, line = prose(rnd, 150), prose(rnd, 14)
+    texts = []
+    for k in range(70):
+        a, b = prose(rnd, rnd.randrange(5, 60)), prose(rnd, rnd.randrange(5, 60))
+        cut = passage[rnd.randrange(len(passage) // 2) if k % 3 == 0 else 0 :][: rnd.randrange(300, 900) if k % 4 == 0 else None]
+        texts.append(f"{a} {line} {cut} {line} {b}" if k % 5 else f"{a} {line} {b} {line}")
+    texts += ["a" * n for n in (399, 400, 650, 1300)] + ["b" * 1000 + prose(rnd, 20), prose(rnd, 90) * 3, None, ""]
+    got = Counter(tuple(r)[1:] for r in suffix_dedup.deduplicated(make_docs(spark, texts), hot=hot).drop("spans").collect())
+    assert got == Counter(brute_cut(texts, 400))
+
+
 def test_deep_shallow_and_spans_against_all_pairs():
     rnd = random.Random(1)
     for _ in range(150):
