@@ -2,7 +2,8 @@
 
 1. Anchors. In each window of LENGTH bytes the least hash of its ``GRAM``-byte grams marks an anchor. Equal windows have their
    anchor at the same place, so repeats show as anchors with equal grams: about one suffix in 170 is sorted, not all.
-2. Contexts. Anchors whose gram occurs twice or more get the bytes of all windows that they are the anchor of.
+2. Contexts. An anchor's context is the bytes of all windows that it is the anchor of. Where contexts are equal (by gram and by
+   the hash of the whole), each is repeated as a whole and one goes on for all, if its gram has a different context too.
 3. Suffix order. The suffixes from the anchors of one gram, and the reversed prefixes before them, are sorted by deep-shallow
    sorting: a multikey quicksort on eight-byte characters, vectorized over all groups, down to ``SHALLOW`` bytes, and a blind
    trie for each group that is still equal there. Both orders come with the common prefixes of neighbours.
@@ -55,13 +56,25 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(np.arange(256, dtype=np.uint64)), np.cumprod(up), np.cumprod(down)
 
 
+def _running(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The running sum that stretches are hashed from, and the factors that make a hash free of its place."""
+    value, up, down = _powers(1 << max(16, int(len(raw)).bit_length()))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[raw] * down[: len(raw)])]), up
+
+
 def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """The hash of the gram at each position, from one running sum."""
-    value, up, down = _powers(1 << max(16, int(len(raw)).bit_length()))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[raw] * down[: len(raw)])])
+    total, up = _running(raw)
     return mix((total[gram:] - total[:-gram]) * up[: len(raw) - gram + 1])
 
 
+def context_hashes(raw: np.ndarray, at: np.ndarray, lo: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of the bytes from each ``lo`` to ``end`` and of how far the anchor lies from both."""
+    total, up = _running(raw)
+    whole = mix((total[end] - total[lo]) * up[lo])
+    return mix(whole + mix((at - lo).astype(np.uint64) << np.uint64(32) | (end - at).astype(np.uint64)))
+
+
 def anchors(raw: np.ndarray, cut: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Gram hash, anchor, first and last window of each anchor in a buffer of texts that end at ``cut[1:]``."""
     width = length - gram + 1
@@ -256,7 +269,7 @@ def _buffer(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def anchor_table(docs: DataFrame, id_column: str, text_column: str, length: int, gram: int) -> DataFrame:
     """_row, id, key, n_bytes, sha256 of the whole text, and its anchors; docs: ``numbered``."""
-    listed = T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("at", "lo", "hi")]]))
+    listed = T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("context", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("at", "lo", "hi")]]))
     schema = T.StructType([T.StructField("_row", T.LongType()), docs.schema[id_column], T.StructField("key", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
                            T.StructField("sha256", T.StringType()), T.StructField("anchors", listed)])
 
@@ -266,7 +279,8 @@ def anchor_table(docs: DataFrame, id_column: str, text_column: str, length: int,
             hashes, at, lo, hi = anchors(raw, cut, length, gram)
             row = np.searchsorted(cut, at, "right") - 1
             places = [pa.array((x - cut[row]).astype(np.int32)) for x in (at, lo, hi)]
-            found = pa.StructArray.from_arrays([pa.array(hashes.view(np.int64)), *places], ["gram", "at", "lo", "hi"])
+            context = context_hashes(raw, at, lo, hi + length).view(np.int64)
+            found = pa.StructArray.from_arrays([pa.array(hashes.view(np.int64)), pa.array(context), *places], ["gram", "context", "at", "lo", "hi"])
             lists = pa.ListArray.from_arrays(pa.array(_cut(np.bincount(row, minlength=len(text))).astype(np.int32)), found)
             data = memoryview(raw)
             each = [data[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
@@ -368,12 +382,15 @@ def _counted_repeats(docs: DataFrame, length: int) -> DataFrame:
     return both.select("_row", F.col("first").alias("start"), (F.col("last") + length).cast("int").alias("end"))
 
 
-def _sized(rows: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Rows of groups of two or more with their group's size ``n``; counted and joined in parts, so that no task reads a hot group whole."""
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
-    parts = rows.groupBy("group", "_salt").agg(F.count(F.lit(1)).alias("n"))
-    total = parts.groupBy("group").agg(F.sum("n").alias("n"), F.collect_list("_salt").alias("_salt")).where("n > 1")
-    return rows.join(total.select("group", "n", F.explode("_salt").alias("_salt")), ["group", "_salt"]).drop("_salt")
+def _sized(rows: DataFrame, *keys: str, least: int = 2) -> DataFrame:
+    """Rows of groups of ``least`` or more with their group's size ``n`` and its ``head``, the first row and place in it.
+
+    Groups are counted and joined in parts, so that no task reads a hot group whole.
+    """
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    parts = rows.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_row", "at")).alias("head"))
+    total = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("head").alias("head"), F.collect_list("_salt").alias("_salt")).where(F.col("n") >= least)
+    return rows.join(total.select(*keys, "n", "head", F.explode("_salt").alias("_salt")), [*keys, "_salt"]).drop("_salt")
 
 
 def _repeats(contexts: DataFrame, length: int) -> DataFrame:
@@ -413,7 +430,7 @@ def _by_row(rows: DataFrame) -> DataFrame:
 
 def _hot_repeats(held: DataFrame, length: int, hot: int) -> DataFrame:
     """_row, start and end of repeated stretches around the listed anchors of hot grams; held: _row, text, anchors."""
-    sides = materialize(_sized(_sides(held, length)))
+    sides = materialize(_sized(_sides(held, length), "group"))
     texts = held.select("_row", "text")
     sorted_ = texts.join(_by_row(sides.where(F.col("n") <= hot)), "_row")
     # here the gram is the group: windows are told apart by their gram and their hash
@@ -427,12 +444,17 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     docs = numbered(need(docs, id_column, text_column))
     table = materialize(anchor_table(docs, id_column, text_column, length, gram))
     texts = materialize(table.groupBy("key").agg(F.min("_row").alias("_row"), F.count(F.lit(1)).alias("copies"), F.min_by("anchors", "_row").alias("anchors")))
-    listed = texts.select("_row", F.explode("anchors").alias("x")).select("_row", F.col("x.gram").alias("group"), "x.at", "x.lo", "x.hi")
+    listed = texts.select("_row", F.explode("anchors").alias("x")).select("_row", F.col("x.gram").alias("group"), "x.context", "x.at", "x.lo", "x.hi")
+    kinds = materialize(_sized(_sized(listed, "group").drop("n", "head"), "group", "context", least=1))
+    equal = kinds.where("n > 1").select("_row", "group", "at", "lo", "hi", F.lit(0).alias("n"))
+    heads = _sized(kinds.where(F.col("head") == F.struct("_row", "at")).drop("n", "head"), "group").select(*equal.columns)
     one = F.struct("group", "at", "lo", "hi")
-    wanted = _sized(listed).groupBy("_row").agg(*[F.collect_list(F.when(cold, one)).alias(name) for name, cold in (("anchors", F.col("n") <= hot), ("hot", F.col("n") > hot))])
+    wanted = heads.unionByName(equal).groupBy("_row").agg(
+        *[F.collect_list(F.when(cold, one)).alias(name) for name, cold in (("anchors", F.col("n").between(2, hot)), ("hot", F.col("n") > hot))])
     full = docs.select(F.col(text_column).alias("text"), "_row")
     held = materialize(full.join(wanted, "_row"), "zstd")
-    found = _repeats(_contexts(held.where(F.size("anchors") > 0).select("_row", "text", "anchors"), length), length)
+    whole = equal.select("_row", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    found = whole.unionByName(_repeats(_contexts(held.where(F.size("anchors") > 0).select("_row", "text", "anchors"), length), length))
     hot_rows = held.where(F.size("hot") > 0).select("_row", "text", F.col("hot").alias("anchors"))
     if not hot_rows.isEmpty():
         found = found.unionByName(_hot_repeats(hot_rows, length, hot))
