@@ -1,5 +1,6 @@
 """What keeps memory and work in proportion to the input: plans and splits, on the smallest tables."""
 
+import __spark_entry__
 from lamina.operators import components, evaluation
 from lamina.plans.rasters import DRAWN, raster, spread_suppliers
 
@@ -28,3 +29,8 @@ def test_paired_keeps_the_pixels_of_both_masks(spark):
 def test_a_task_draws_a_bounded_number_of_pixels(spark):
     suppliers = spread_suppliers(spark, SF, 3 * DRAWN)
     assert suppliers.rdd.getNumPartitions() == 3 * suppliers.count()
+
+
+def test_luma_is_drawn_once(spark):
+    plan = plan_of(__spark_entry__.queries()["b4_luma"](spark, SF))
+    assert not [line for line in plan.splitlines() if "Filter" in line and "0.299" in line]
