@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,6 +11,7 @@ from ..functions.ordered import last_marked, neighbours, value_bucket
 from ..functions.quantiles import exact_quantiles
 from ..session import materialize
 
+FEW = 4096   # distinct centres of a section that one task compares with each other
 LEVELS = 20  # grid levels: the finest cell is 2**-20 of the section's side
 
 
@@ -28,17 +30,49 @@ def _shared_level(a: Column, b: Column) -> Column:
     return (F.lit(LEVELS) - F.ceil(bits / 2)).cast("int")
 
 
-def nearest_neighbour(points: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
-    """Distance to the nearest other centre of the section, exact, without comparing all pairs.
+def _nearest_of_few(distinct: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, center_x, center_y, _d2`` of sections whose centres one task compares with each other, some rows at a time."""
 
-    A point's search level is the finest quadtree level at which its cell holds
-    another point; its neighbour then lies within the 5x5 cells around it.  At
-    any level a cell has at most four such seekers, so the candidates grow
-    linearly with the points however they cluster.
+    def run(table: pa.Table) -> pa.Table:
+        x, y = table["center_x"].to_numpy(), table["center_y"].to_numpy()
+        n = len(x)
+        least = np.full(n, np.inf)
+        step = max(1, (1 << 20) // n)
+        for a in range(0, n, step):
+            d2 = (x[a:a + step, None] - x) ** 2 + (y[a:a + step, None] - y) ** 2
+            d2[np.arange(len(d2)), np.arange(a, a + len(d2))] = np.inf
+            least[a:a + step] = np.fmin.reduce(d2, 1)
+        return table.select([*keys, "center_x", "center_y"]).append_column("_d2", pa.array(least, mask=np.isinf(least)))
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.select(*keys).schema.fields)
+    centres = distinct.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("center_x", "center_y")]).dropna(subset=["center_x", "center_y"])
+    return centres.groupBy(*keys).applyInArrow(run, names + ", center_x double, center_y double, _d2 double")
+
+
+def nearest_neighbour(points: DataFrame, keys: list[str], ids: list[str], few: int = FEW) -> DataFrame:
+    """Distance to the nearest other centre of the section, exact, without comparing all pairs of a large one.
+
+    A section of at most ``few`` distinct centres goes to one task as it is.  In
+    a larger one a point's search level is the finest quadtree level at which
+    its cell holds another point; its neighbour then lies within the 5x5 cells
+    around it.  At any level a cell has at most four such seekers, so the
+    candidates grow linearly with the points however they cluster.
     """
     at = [*keys, "center_x", "center_y"]
     # read several times below: written once rather than recomputed
-    distinct = materialize(points.groupBy(*at).agg(F.count("*").alias("_copies")))
+    every = materialize(points.groupBy(*at).agg(F.count("*").alias("_copies")))
+    large = materialize(every.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select(*keys))
+    nearest = _nearest_of_few(every.join(large, keys, "left_anti"), keys)
+    if not large.isEmpty():
+        nearest = nearest.unionByName(_nearest_of_many(every.join(large, keys, "left_semi"), keys))
+    result = every.join(nearest, at, "left").select(
+        *at, F.when(F.col("_copies") > 1, 0.0).otherwise(F.sqrt("_d2")).alias("nn_px"))
+    return points.select(*at, *ids).join(result, at)
+
+
+def _nearest_of_many(distinct: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, center_x, center_y, _d2`` by search levels, of centres that occur once."""
+    at = [*keys, "center_x", "center_y"]
     extent = distinct.groupBy(*keys).agg(
         F.min("center_x").alias("_x0"), F.min("center_y").alias("_y0"),
         F.greatest(F.max("center_x") - F.min("center_x"), F.max("center_y") - F.min("center_y")).alias("_side"))
@@ -73,15 +107,12 @@ def nearest_neighbour(points: DataFrame, keys: list[str], ids: list[str]) -> Dat
         .select(*keys, "_level", cell("_ix").alias("_cx"), cell("_iy").alias("_cy"),
                 F.col("center_x").alias("_ox"), F.col("center_y").alias("_oy"))
     )
-    nearest = (
+    return (
         wanted.join(others, [*keys, "_level", "_cx", "_cy"])
         .where("center_x <> _ox or center_y <> _oy")
         .groupBy(*at).agg(F.min(
             (F.col("center_x") - F.col("_ox")) ** 2 + (F.col("center_y") - F.col("_oy")) ** 2).alias("_d2"))
     )
-    result = distinct.join(nearest, at, "left").select(
-        *at, F.when(F.col("_copies") > 1, 0.0).otherwise(F.sqrt("_d2")).alias("nn_px"))
-    return points.select(*at, *ids).join(result, at)
 
 
 def neighbour_spacing(points: DataFrame, keys: list[str], ids: list[str], scale: float = UM_PER_PX) -> DataFrame:

@@ -1,7 +1,9 @@
 """What keeps memory and work in proportion to the input: plans and splits, on the smallest tables."""
 
+import numpy as np
+
 import __spark_entry__
-from lamina.operators import components, evaluation
+from lamina.operators import components, evaluation, spacing
 from lamina.plans.rasters import DRAWN, raster, spread_suppliers
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +36,18 @@ def test_a_task_draws_a_bounded_number_of_pixels(spark):
 def test_luma_is_drawn_once(spark):
     plan = plan_of(__spark_entry__.queries()["b4_luma"](spark, SF))
     assert not [line for line in plan.splitlines() if "Filter" in line and "0.299" in line]
+
+
+def test_nearest_neighbours_of_few_and_of_many_centres(spark):
+    rng = np.random.default_rng(6)
+    rows = [(s, i, float(a), float(b)) for s, n in (("one", 1), ("few", 9), ("many", 300)) for i, (a, b) in enumerate(rng.integers(0, 60, (n, 2)))]
+    points = spark.createDataFrame(rows, "section_id string, i int, center_x double, center_y double")
+    want = {}
+    for s, i, x, y in rows:
+        rest = [(x - a) ** 2 + (y - b) ** 2 for t, j, a, b in rows if t == s and j != i]
+        want[s, i] = min(rest) ** 0.5 if rest else None
+    for few in (0, 20, spacing.FEW):
+        got = spacing.nearest_neighbour(points, ["section_id"], ["i"], few).collect()
+        assert {(r["section_id"], r["i"]): r["nn_px"] for r in got} == want
+    # a section that fits a task needs no candidates of other levels
+    assert "_level" not in plan_of(spacing.nearest_neighbour(points, ["section_id"], ["i"]))
