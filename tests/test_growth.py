@@ -3,8 +3,9 @@
 import numpy as np
 
 import __spark_entry__
-from lamina.operators import components, evaluation, spacing
+from lamina.operators import components, distance, evaluation, spacing
 from lamina.plans.rasters import DRAWN, raster, spread_suppliers
+from tests import helpers
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,15 @@ def test_nearest_neighbours_of_few_and_of_many_centres(spark):
         assert {(r["section_id"], r["i"]): r["nn_px"] for r in got} == want
     # a section that fits a task needs no candidates of other levels
     assert "_level" not in plan_of(spacing.nearest_neighbour(points, ["section_id"], ["i"]))
+
+
+def test_distance_packs_pixels_for_both_passes(spark, to_pixels):
+    rng = np.random.default_rng(7)
+    on = rng.random((40, 70)) < 0.97
+    lattice = to_pixels({"s": on, "all on": np.ones((5, 6), bool)}, "on")
+    d2 = distance.distance_squared(lattice, ["section_id"])
+    got = {(r["section_id"], r["y"], r["x"]): r["d2"] for r in d2.collect()}
+    want = helpers.distance2(on)
+    assert {k: v for k, v in got.items() if k[0] == "s"} == {("s", y, x): want[y, x] for y, x in np.argwhere(on)}
+    assert [got["all on", y, x] for y in range(5) for x in range(6)] == [None] * 30
+    assert "Window" not in plan_of(d2)
