@@ -64,3 +64,8 @@ def test_distance_packs_pixels_for_both_passes(spark, to_pixels):
     assert {k: v for k, v in got.items() if k[0] == "s"} == {("s", y, x): want[y, x] for y, x in np.argwhere(on)}
     assert [got["all on", y, x] for y in range(5) for x in range(6)] == [None] * 30
     assert "Window" not in plan_of(d2)
+
+
+def test_confusion_pairs_the_pixels_once(spark):
+    pairs = evaluation.paired(raster(spark, SF, "gt"), raster(spark, SF, "pred"), ["section_id"])
+    assert "s_suppkey" not in plan_of(evaluation.confusion(pairs, ["section_id"]))
