@@ -111,7 +111,8 @@ def histograms(lesions: DataFrame, measures: list[str], n_bins: int = 30) -> Dat
 def box_numbers(lesions: DataFrame, measures: list[str]) -> DataFrame:
     """Quartiles, whiskers within 1.5 quartile ranges, and the number beyond."""
     values = _long(lesions, measures)
-    q = exact_quantiles(values, ["measure"], "v", {"q1": 0.25, "med": 0.5, "q3": 0.75})
+    # a row per measure: sent to all, so that a task never holds all values of a measure
+    q = F.broadcast(exact_quantiles(values, ["measure"], "v", {"q1": 0.25, "med": 0.5, "q3": 0.75}, few=True))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     low, high = F.col("v") >= F.col("q1") - reach, F.col("v") <= F.col("q3") + reach
     return values.join(q, "measure").groupBy("measure", "q1", "med", "q3").agg(

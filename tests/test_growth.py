@@ -1,9 +1,10 @@
 """What keeps memory and work in proportion to the input: plans and splits, on the smallest tables."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from lamina.operators import components, distance, evaluation, spacing
+from lamina.operators import batch_stats, components, distance, evaluation, spacing
 from lamina.plans.rasters import DRAWN, raster, spread_suppliers
 from tests import helpers
 
@@ -69,3 +70,22 @@ def test_distance_packs_pixels_for_both_passes(spark, to_pixels):
 def test_confusion_pairs_the_pixels_once(spark):
     pairs = evaluation.paired(raster(spark, SF, "gt"), raster(spark, SF, "pred"), ["section_id"])
     assert "s_suppkey" not in plan_of(evaluation.confusion(pairs, ["section_id"]))
+
+
+def test_member_means_stay_where_their_section_was_dealt(spark):
+    plan = plan_of(__spark_entry__.queries()["g1_mean_probabilities"](spark, SF))
+    assert plan.count("Exchange") == 1 and "Union" not in plan
+
+
+def test_quantiles_of_few_groups_gather_no_values(spark):
+    values = spark.range(30_000).select((F.col("id") % 997 / 2).alias("a"), (F.col("id") % 1013).cast("double").alias("b"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        box = batch_stats.box_numbers(values, ["a", "b"])
+        assert "SortMergeJoin" not in plan_of(box)
+        got = {r["measure"]: (r["q1"], r["med"], r["q3"]) for r in box.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    rows = values.toPandas()
+    assert got == {c: tuple(np.quantile(rows[c], [0.25, 0.5, 0.75])) for c in ("a", "b")}
