@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lamina.operators import batch_stats, components, distance, evaluation, spacing
+from lamina.operators import batch_stats, components, distance, evaluation, objects, spacing
 from lamina.plans.rasters import DRAWN, raster, spread_suppliers
 from tests import helpers
 
@@ -89,3 +89,21 @@ def test_quantiles_of_few_groups_gather_no_values(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     rows = values.toPandas()
     assert got == {c: tuple(np.quantile(rows[c], [0.25, 0.5, 0.75])) for c in ("a", "b")}
+
+
+def test_nearest_component_looks_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    pixels = [(s, int(y), int(x), int(y * 100 + x)) for s in ("a", "b") for y, x in np.argwhere(rng.random((40, 50)) < 0.02)]
+    labelled = spark.createDataFrame(pixels, "section_id string, y int, x int, label long")
+    spots = [(s, i, float(x) / 2, float(y) / 2) for s in ("a", "b", "none") for i, (x, y) in enumerate(rng.integers(-16, 120, (150, 2)))]
+    points = spark.createDataFrame([*spots, ("a", -1, None, 3.0)], "section_id string, i int, center_x double, center_y double")
+    want = {("a", -1): None}
+    for s, i, cx, cy in spots:
+        xi, yi = int(np.rint(cx)), int(np.rint(cy))
+        box = [((y, x) != (yi, xi), (x - cx) ** 2 + (y - cy) ** 2, y, x, lab) for t, y, x, lab in pixels if t == s and abs(x - xi) <= 6 and abs(y - yi) <= 6]
+        want[s, i] = min(box)[-1] if box else None
+    for block in (8, 256):
+        near = objects.component_near_point(points, labelled, ["section_id"], ["i"], 6, block)
+        assert {(r["section_id"], r["i"]): r["label"] for r in near.collect()} == want
+    # no join makes a row for a point and a pixel
+    assert "Join" not in plan_of(near)
