@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lamina.session import materialize
+from lamina.session import stored as materialize
 
 SLOTS = 4096
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lamina.operators import batch_stats, components, distance, evaluation, objects, spacing
 from lamina.plans.rasters import DRAWN, raster, spread_suppliers
+from lamina.session import materialize
 from tests import helpers
 
 SF = "/root/testdata/sf0.001"
@@ -107,3 +108,10 @@ def test_nearest_component_looks_in_blocks(spark):
         assert {(r["section_id"], r["i"]): r["label"] for r in near.collect()} == want
     # no join makes a row for a point and a pixel
     assert "Join" not in plan_of(near)
+
+
+def test_stored_tables_of_many_rows_are_not_sent_to_all(spark):
+    rows = spark.range(2000).selectExpr("id", "id % 3 as v")
+    other = spark.range(50).selectExpr("id", "id as w")
+    assert "Broadcast" not in plan_of(other.join(materialize(rows, few=1999), "id"))
+    assert "Broadcast" in plan_of(other.join(materialize(rows, few=2000), "id"))
