@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -28,6 +29,22 @@ def test_runs_are_painted_across_blocks(spark, to_pixels):
     assert sorted(map(tuple, got.collect())) == [("s", 4, x, 7, 1) for x in range(3, 26)] + [("s", 19, 0, 8, 1)]
 
 
+def test_groups_are_whole_however_batches_fall(spark):
+    rows = spark.range(0, 4000, 1, 3).select((F.col("id") % 7 * F.col("id") % 31).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("b"), "id")
+
+    def total(table):
+        return pa.table({"a": table["a"][:1], "b": table["b"][:1], "n": pa.array([table.num_rows], pa.int64()), "s": pa.array([sum(table["id"].to_pylist())], pa.int64())})
+
+    want = {tuple(r) for r in rows.groupBy("a", "b").agg(F.count("*"), F.sum("id")).collect()}
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "17", kept):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = [tuple(r) for r in blocks.map_groups(rows, ["a", "b"], total, "a long, b long, n long, s long").collect()]
+        assert len(got) == len(want) and set(got) == want
+    # a group of its own in Spark is left to what is large
+    assert "FlatMapGroups" not in plan_of(components.label_runs(rows.select("a", F.col("id").cast("int").alias("y"), F.col("id").cast("int").alias("x")), ["a"]))
+
+
 def test_runs_carry_values_and_sums(spark, to_pixels):
     rng = np.random.default_rng(3)
     cls = rng.integers(0, 4, (37, 41))
