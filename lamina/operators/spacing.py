@@ -10,6 +10,7 @@ from ..functions.fixed import UM_PER_PX
 from ..functions.ordered import last_marked, neighbours, value_bucket
 from ..functions.quantiles import exact_quantiles
 from ..session import materialize
+from .blocks import map_groups
 
 FEW = 4096   # distinct centres of a section that one task compares with each other
 LEVELS = 20  # grid levels: the finest cell is 2**-20 of the section's side
@@ -187,15 +188,70 @@ def nearest_line(lines: DataFrame, keys: list[str]) -> DataFrame:
     return chosen.join(table.select(*keys, F.col("start").alias("at"), F.col("next").alias("after")), [*keys, "at"])
 
 
-def grid_spacing(points: DataFrame, keys: list[str], scale: float = UM_PER_PX) -> DataFrame:
+def _lines_of_few(v: np.ndarray, gap_multiplier: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the lines of one section, and the index of the nearest one (the lower on ties) for each coordinate."""
+    limit = np.quantile(np.diff(np.sort(v)), 0.5) * gap_multiplier
+    distinct, place = np.unique(v, return_inverse=True)
+    # starts are read by position: a jump goes to the first coordinate beyond the limit
+    starts, i = [], 0
+    beyond = np.searchsorted(distinct, distinct + limit, "right")
+    while i < len(distinct):
+        starts.append(i)
+        # the rule compares the difference, which may round otherwise than the sum
+        i = max(int(beyond[i]) - 1, i + 1)
+        while i < len(distinct) and not distinct[i] - distinct[starts[-1]] > limit:
+            i += 1
+    lines = distinct[starts]
+    own = np.searchsorted(lines, distinct, "right") - 1
+    after = np.minimum(own + 1, len(lines) - 1)
+    nearest = np.where(np.abs(distinct - lines[after]) < np.abs(distinct - lines[own]), after, own)
+    return lines, nearest[place]
+
+
+def _spacing_of_few(points: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """``keys, m`` of sections that fit a task: the same sums per cell of lines."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = table["center_x"].to_numpy(), table["center_y"].to_numpy()
+        gx, gy = _lines_of_few(x)[1], _lines_of_few(y)[1]
+        total, pairs = 0.0, 0
+        for here, other, v in ((gx, gy, x), (gy, gx, y)):
+            wide = int(here.max()) + 2
+            cells, cell = np.unique(other * wide + here, return_inverse=True)
+            n, s = np.bincount(cell), np.bincount(cell, weights=v)
+            at = np.searchsorted(cells, cells + 1)
+            met = np.flatnonzero(cells[np.minimum(at, len(cells) - 1)] == cells + 1)
+            total += float((n[met] * s[at[met]] - n[at[met]] * s[met]).sum())
+            pairs += int((n[met] * n[at[met]]).sum())
+        m = total / pairs * scale if pairs else None
+        return pa.table({k: table[k].combine_chunks()[:1] for k in keys} | {"m": pa.array([m], pa.float64())})
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
+    centres = points.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("center_x", "center_y")])
+    return map_groups(centres, keys, run, names + ", m double")
+
+
+def grid_spacing(points: DataFrame, keys: list[str], scale: float = UM_PER_PX, few: int = FEW) -> DataFrame:
     """Mean spacing of centres in one row and neighbouring columns, and the transpose; 0 if none.
 
     Lines split the axis into intervals, so every centre of the next line lies
     beyond every centre of this one and the sum of differences needs only sums
-    and counts per cell, never the pairs.
+    and counts per cell, never the pairs.  A section of at most ``few`` centres,
+    all of them known, goes to one task as it is.
     """
-    some = points.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n >= 2").select(*keys)
-    work = points.join(some, keys, "left_semi")
+    known = F.bool_and(F.col("center_x").isNotNull() & F.col("center_y").isNotNull())
+    sizes = materialize(points.groupBy(*keys).agg(F.count("*").alias("_n"), known.alias("_known")))
+    small = (F.col("_n") <= few) & F.col("_known")
+    large = sizes.where((F.col("_n") >= 2) & ~small).select(*keys)
+    means = _spacing_of_few(points.join(sizes.where((F.col("_n") >= 2) & small).select(*keys), keys, "left_semi"), keys, scale)
+    if not large.isEmpty():
+        means = means.unionByName(_spacing_of_many(points.join(large, keys, "left_semi"), keys, scale))
+    return sizes.select(*keys).join(means, keys, "left").select(
+        *keys, F.coalesce("m", F.lit(0.0)).alias("mean_grid_distance_um"))
+
+
+def _spacing_of_many(work: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """``keys, m`` of sections of any size."""
     xs = nearest_line(grid_lines(work, keys, "center_x"), keys).select(
         *keys, F.col("v").alias("center_x"), F.col("at").alias("gx"), F.col("after").alias("gx_next"))
     ys = nearest_line(grid_lines(work, keys, "center_y"), keys).select(
@@ -212,6 +268,4 @@ def grid_spacing(points: DataFrame, keys: list[str], scale: float = UM_PER_PX) -
             (F.col("n1") * F.col("n2")).alias("pairs"))
 
     both = along("gx", "gy", "sx").unionByName(along("gy", "gx", "sy"))
-    means = both.groupBy(*keys).agg((F.sum("total") / F.sum("pairs") * scale).alias("m"))
-    return points.select(*keys).distinct().join(means, keys, "left").select(
-        *keys, F.coalesce("m", F.lit(0.0)).alias("mean_grid_distance_um"))
+    return both.groupBy(*keys).agg((F.sum("total") / F.sum("pairs") * scale).alias("m"))

@@ -42,7 +42,7 @@ def test_groups_are_whole_however_batches_fall(spark):
         got = [tuple(r) for r in blocks.map_groups(rows, ["a", "b"], total, "a long, b long, n long, s long").collect()]
         assert len(got) == len(want) and set(got) == want
     # a group of its own in Spark is left to what is large
-    assert "FlatMapGroups" not in plan_of(components.label_runs(rows.select("a", F.col("id").cast("int").alias("y"), F.col("id").cast("int").alias("x")), ["a"]))
+    assert "FlatMapGroups" not in plan_of(components.label_runs(rows.select(F.col("a").alias("section_id"), F.col("id").cast("int").alias("y"), F.col("id").cast("int").alias("x")), K))
 
 
 def test_runs_carry_values_and_sums(spark, to_pixels):

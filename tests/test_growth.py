@@ -115,3 +115,15 @@ def test_stored_tables_of_many_rows_are_not_sent_to_all(spark):
     other = spark.range(50).selectExpr("id", "id as w")
     assert "Broadcast" not in plan_of(other.join(materialize(rows, few=1999), "id"))
     assert "Broadcast" in plan_of(other.join(materialize(rows, few=2000), "id"))
+
+
+def test_grid_spacing_of_few_and_of_many_centres(spark):
+    rng = np.random.default_rng(12)
+    rows = [(s, float(a), float(b)) for s, n in (("one", 1), ("two", 2), ("few", 40), ("many", 300)) for a, b in np.round(rng.integers(0, 90, (n, 2)) + rng.random((n, 2)), 1)]
+    rows += [("line", 7.0, float(b)) for b in (1, 1, 4, 9)]
+    points = spark.createDataFrame(rows, "section_id string, center_x double, center_y double")
+    found = []
+    for few in (0, 50, spacing.FEW):
+        got = spacing.grid_spacing(points, ["section_id"], few=few)
+        found.append({r["section_id"]: round(r["mean_grid_distance_um"], 9) for r in got.collect()})
+    assert found[0] == found[1] == found[2] and set(found[0]) == {"one", "two", "few", "many", "line"}
