@@ -101,3 +101,16 @@ def test_beside_background(spark, to_pixels):
     padded = np.pad(grid, 1, constant_values=9)
     want = {(y, x): any(padded[y + 1 + a, x + 1 + b] == 0 for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))) for y, x in np.argwhere(grid >= 2)}
     assert {(r["y"], r["x"]): r["beside"] for r in got} == want
+
+
+def test_rectangles_are_taken_in_two_passes(monkeypatch):
+    rng = np.random.default_rng(4)
+    grid, present = rng.integers(0, 9, (30, 34)).astype(np.int8), rng.random((30, 34)) < 0.7
+    seen, shifted = [], blocks.shifted
+    monkeypatch.setattr(blocks, "shifted", lambda *a: seen.append(a[1:3]) or shifted(*a))
+    for largest, pick, none in ((True, max, 0), (False, min, 0)):
+        got = blocks.extreme(grid, present, blocks.rectangle(7), largest)
+        for y, x in np.ndindex(grid.shape):
+            near = [grid[a, b] for a in range(max(0, y - 3), min(30, y + 4)) for b in range(max(0, x - 3), min(34, x + 4)) if present[a, b]]
+            assert got[y, x] == (pick(near) if present[y, x] else none)
+    assert len(seen) == 2 * 14
