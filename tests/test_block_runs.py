@@ -95,6 +95,15 @@ def test_filter_and_features_join_no_pixels(spark):
         assert not joins_of_pixels(__spark_entry__.queries()[name](spark, SF)), name
 
 
+def test_border_and_ring_are_asked_in_one_pass(spark):
+    """Of what grows with the components nothing is joined, so nothing of it is sent to all: the section's sides alone are."""
+    df = __spark_entry__.queries()["d15_border_and_ring"](spark, SF)
+    assert not [line for line in plan_of(df).splitlines() if re.search(r"Join \[section_id#\d+L?, label#", line)]
+    runs = spark.createDataFrame([("s", 0, 2, 3, 2, False), ("s", 1, 2, 2, 2, True), ("s", 2, 5, 6, 9, False)], "section_id string, y int, x0 int, x1 int, label long, beside boolean")
+    extent = spark.createDataFrame([("s", 9, 9)], "section_id string, width int, height int")
+    assert sorted(map(tuple, components.touches_border(runs, extent, K, ["beside"]).collect())) == [("s", 2, True, True), ("s", 9, False, False)]
+
+
 def test_beside_background(spark, to_pixels):
     grid = np.random.default_rng(5).integers(0, 4, (19, 23))
     got = morphology.beside_background(to_pixels({"s": grid}), K, 8).collect()
