@@ -13,17 +13,23 @@ from ..functions.scalars import argmax4
 OVERLAPS = (20, 40, 60, 80)  # per cent
 
 
-def shift_grids(sizes: list[int], overlaps=OVERLAPS) -> Column:
-    """Array of ``size, folder, step``: the unshifted grid and one per overlap."""
-    rows = []
+def _lattices(sizes: list[int], overlaps=OVERLAPS) -> dict[tuple[int, int], list[str]]:
+    """The folders of each tile size and step: the unshifted grid and one per overlap."""
+    found: dict[tuple[int, int], list[str]] = {}
     for size in sizes:
-        rows.append((size, "no_shift", size))
+        found.setdefault((size, size), []).append("no_shift")
         for pct in sorted(p for p in overlaps if 0 < p < 100):
             shift = size * pct // 100
             label = round(100 * shift / size)
             if size - shift > 0 and label in overlaps:
-                rows.append((size, f"ovlp_{label}" if shift else "no_shift", size - shift))
-    return F.array(*[F.struct(F.lit(s).alias("size"), F.lit(f).alias("folder"), F.lit(st).alias("step")) for s, f, st in rows])
+                found.setdefault((size, size - shift), []).append(f"ovlp_{label}" if shift else "no_shift")
+    return found
+
+
+def shift_grids(sizes: list[int], overlaps=OVERLAPS) -> Column:
+    """Array of ``size, folder, step``: the unshifted grid and one per overlap."""
+    return F.array(*[F.struct(F.lit(s).alias("size"), F.lit(f).alias("folder"), F.lit(st).alias("step"))
+                     for (s, st), folders in _lattices(sizes, overlaps).items() for f in folders])
 
 
 def training_origins(length: Column, size: Column, step: Column) -> Column:
@@ -58,14 +64,26 @@ def tile_white_share(pixels: DataFrame, sections: DataFrame, sizes: list[int], o
                      threshold: int = 240, min_share: float = 0.995) -> DataFrame:
     """White share of every training tile and whether it is background.
 
-    Sums go first along rows, then across them, so a pixel is repeated once per
-    tile column and only row sums are repeated per tile row.
+    Pixels are summed once to cells on whose borders all tiles of the section
+    begin and end.  Sums then go along rows, then across them, so a cell is
+    repeated once per tile column and only row sums are repeated per tile row.
     """
+    grids = shift_grids(sizes, overlaps)
+    # tiles begin at multiples of their step, the last at the length less their size; where no side divides these, a cell is a pixel
+    common = math.gcd(*[v for size, step in _lattices(sizes, overlaps) for v in (size, step)])
+    sides = [d for d in range(1, common + 1) if common % d == 0]
+
+    def cell(length: str) -> Column:
+        return F.greatest(F.lit(1), *[F.when(F.col(length) % d == 0, F.lit(d)) for d in sides])
+
     white = ((F.col("r") > threshold) & (F.col("g") > threshold) & (F.col("b") > threshold)).cast("bigint")
-    grids = F.explode(shift_grids(sizes, overlaps)).alias("gr")
+    cells = (
+        pixels.select("section_id", "y", "x", white.alias("white")).join(sections.select("section_id", "width", "height", cell("height").alias("_ch"), cell("width").alias("_cw")), "section_id")
+        .groupBy("section_id", "width", "height", (F.col("y") - F.col("y") % F.col("_ch")).alias("y"), (F.col("x") - F.col("x") % F.col("_cw")).alias("x"))
+        .agg(F.sum("white").alias("white"))
+    )
     rows = (
-        pixels.select("section_id", "y", "x", white.alias("white")).join(sections, "section_id")
-        .select("section_id", "y", "x", "white", "width", "height", grids).select("*", "gr.*")
+        cells.select("section_id", "y", "x", "white", "width", "height", F.explode(grids).alias("gr")).select("*", "gr.*")
         .where("height >= size and width >= size")
         .select("section_id", "size", "folder", "step", "height", "y", "white",
                 F.explode(_covering(F.col("x"), F.col("width"), F.col("size"), F.col("step"))).alias("j"))

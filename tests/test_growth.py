@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lamina.operators import batch_stats, components, distance, evaluation, objects, spacing
+from lamina.operators import batch_stats, components, distance, evaluation, objects, spacing, tiling
 from lamina.plans.rasters import DRAWN, raster, spread_suppliers
 from lamina.session import materialize
 from tests import helpers
@@ -127,3 +127,27 @@ def test_grid_spacing_of_few_and_of_many_centres(spark):
         got = spacing.grid_spacing(points, ["section_id"], few=few)
         found.append({r["section_id"]: round(r["mean_grid_distance_um"], 9) for r in got.collect()})
     assert found[0] == found[1] == found[2] and set(found[0]) == {"one", "two", "few", "many", "line"}
+
+
+def test_white_share_sums_pixels_to_cells_first(spark):
+    rng = np.random.default_rng(8)
+    sides = {"even": (12, 20), "odd": (9, 13), "small": (5, 6)}
+    white = {s: rng.random(side) < 0.7 for s, side in sides.items()}
+    pixels = spark.createDataFrame([(s, int(y), int(x), *[250 if on else 10] * 3) for s, grid in white.items() for (y, x), on in np.ndenumerate(grid)],
+                                   "section_id string, y int, x int, r int, g int, b int")
+    sections = spark.createDataFrame([(s, h, w) for s, (h, w) in sides.items()], "section_id string, height int, width int")
+    for sizes, pcts in (([8], (25, 50)), ([8, 5], (20, 40))):
+        want = {}
+        for s, grid in white.items():
+            for size in sizes:
+                steps = {"no_shift": size} | {f"ovlp_{p}": size - size * p // 100 for p in pcts if round(100 * (size * p // 100) / size) in pcts}
+                for folder, step in steps.items():
+                    rows, columns = ({*range(0, n - size + 1, step), n - size} if n >= size else set() for n in grid.shape)
+                    if rows and columns:
+                        want |= {(s, size, folder, i, j): grid[i:i + size, j:j + size].sum() / size ** 2 for i in rows for j in columns}
+        got = tiling.tile_white_share(pixels, sections, sizes, pcts)
+        found = {(r["section_id"], r["size"], r["folder"], r["i"], r["j"]): r["white_share"] for r in got.collect()}
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+    # nothing is repeated per tile before the pixels are summed
+    lines = plan_of(got).splitlines()
+    assert any("Aggregate" in line for line in lines[max(i for i, line in enumerate(lines) if "Generate explode" in line):])
