@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,11 +103,11 @@ def set_table(docs: DataFrame, text_column: str, extra: list[str], length: int,
 def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
     """node, n, once (first n-grams that no other node holds) and the others of the first ones in order, as ``df`` and ``grams``;
     nodes: node, n, low, high. A node without such others is left out."""
-    low = nodes.select("node", F.explode("low").alias("gram"))
-    often = low.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = low.join(often, "gram").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("met"))
-    found = nodes.join(shared, "node", "left").withColumn("met", F.coalesce("met", F.array().cast("array<struct<df:bigint,gram:bigint>>")))
-    once = F.size("low") - F.size("met")
+    # counted where they lie: the n-grams move once, and the lists that they come from not again
+    low = nodes.select("node", F.explode("low").alias("gram")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+    shared = low.where("df > 1").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("met"))
+    found = nodes.select("node", "n", F.size("low").alias("lows"), "high").join(shared, "node", "left").withColumn("met", F.coalesce("met", F.array().cast("array<struct<df:bigint,gram:bigint>>")))
+    once = F.col("lows") - F.size("met")
     room = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - once
     later = F.transform("high", lambda g: F.struct(F.lit(1 << 60).alias("df"), g.alias("gram")))
     first = F.slice(F.concat("met", later), 1, F.greatest(room, F.lit(0)).cast("int"))
@@ -344,7 +344,8 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     wanted = materialize(nodes.join(central.select("node"), "node", "left_semi").select("node", "key", "_row_hash"))
     near = only_wanted(docs, wanted, "_row_hash")
     whole = set_table(near, text_column, [], length, percent, share, True)
-    sets = materialize(whole.join(wanted.select("node", "key"), "key").select("node", "ids").dropDuplicates(["node"]))
+    # a node is a key, so that what the join has dealt by key is not dealt again
+    sets = materialize(whole.join(wanted.select("node", "key"), "key").dropDuplicates(["key"]).select("node", "ids"))
     links = materialize(tiles_solved(hub_tiles(members.drop("met").join(central, "node"), sets, block_bytes), percent))
     joined = components(links, "a", "b")
     labelled = materialize(members.drop("met").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))

@@ -227,3 +227,21 @@ def test_join(spark, near_texts, odd_docs, odd_texts, no_docs):
     rows = odd_docs.select("doc_id", "text").collect()
     assert sorted(map(tuple, prefix_tree.linked(odd_docs).collect()), key=repr) == brute_components(*zip(*rows))
     assert prefix_tree.linked(no_docs).count() == 0
+
+
+def test_first_ngrams_move_once(spark):
+    sets = {0: [3, 5, 9], 1: [5, 9, 11], 2: [7], 3: [5], 4: []}
+    nodes = materialize(spark.createDataFrame([(k, 20, low, [100 + k, 200 + k]) for k, low in sets.items()], "node long, n long, low array<long>, high array<long>"))
+    first = prefix_tree.prefixes(nodes, 85)
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    # exploded n-grams are neither joined with their counts nor sent to all, and the lists are not dealt by node again
+    assert "[gram" not in "".join(re.findall(r"Join \[[^\]]*", plan)) and len(re.findall(r"Exchange hashpartitioning\(gram", plan)) == 1
+    df = {g: sum(g in low for low in sets.values()) for low in sets.values() for g in low}
+    want = []
+    for k, low in sets.items():
+        met = sorted((df[g], g) for g in low if df[g] > 1)
+        room = prefix_tree.prefix_length(20) - (len(low) - len(met))
+        kept = [*met, (1 << 60, 100 + k), (1 << 60, 200 + k)][:max(0, room)]
+        if kept:
+            want.append((k, 20, len(low) - len(met), [d for d, _ in kept], [g for _, g in kept]))
+    assert sorted(map(tuple, first.collect())) == want
